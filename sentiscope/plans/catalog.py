@@ -211,3 +211,193 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_negative": q_top_negative,
     "category_top_reviews": q_category_top_reviews,
 }
+
+
+# --- features, neighbours, metrics ----------------------------------------
+
+from functools import lru_cache  # noqa: E402
+
+from ..functions.lookups import NEGATIVE, NEUTRAL, POSITIVE  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import neighbors as NB  # noqa: E402
+from ..operators import scoreboard as SB  # noqa: E402
+from ..operators.evaluate import classification_metrics, regression_metrics  # noqa: E402
+from ..operators.models import ModelSizes, train_all_targets  # noqa: E402
+from ..streaming.events import daily_event_windows  # noqa: E402
+
+NUMERIC_COLS = ["_price", "_rating", "_revn", "_weight", "_batt", "_ravg", "_rcnt"]
+
+
+def numeric_features(spark, sf_dir):
+    p = products(spark, sf_dir)
+    return p.select("product_id", *[FE.NUMERIC[k]().alias(k) for k in NUMERIC_COLS])
+
+
+def q_median_impute(spark, sf_dir):
+    return FE.median_impute(numeric_features(spark, sf_dir), NUMERIC_COLS)
+
+
+def q_label_encode(spark, sf_dir):
+    return FE.label_encode(products(spark, sf_dir).select("product_id", "manufacturer"),
+                           "manufacturer", "manufacturer_code")
+
+
+def q_rating_bins(spark, sf_dir):
+    p = products(spark, sf_dir)
+    return p.select("product_id", C.parse_num("rating").alias("rating_num"),
+                    C.rating_bins(C.parse_num("rating")).alias("rating_bin"),
+                    C.sentiment_bins(C.parse_rev_rating("reviews_rating")).alias("review_bin"))
+
+
+def q_rare_class_filter(spark, sf_dir):
+    return FE.top_classes(products(spark, sf_dir).select("product_id", "title"), "title")
+
+
+def q_prepare_target(spark, sf_dir):
+    y, _ = FE.prepare_target(products(spark, sf_dir), "rating")
+    return y
+
+
+def q_tfidf_titles(spark, sf_dir):
+    t = FE.tfidf(products(spark, sf_dir), "product_id", "title", 60)
+    return t.withColumn("weight", F.bround("weight", 6))
+
+
+def q_tfidf_bigrams(spark, sf_dir):
+    p = products(spark, sf_dir).withColumn("rev_text", F.coalesce("reviews", F.lit("no review")))
+    t = FE.tfidf(p, "product_id", "rev_text", 500, ngram=2)
+    return t.withColumn("weight", F.bround("weight", 6))
+
+
+def q_standardize(spark, sf_dir):
+    p = products(spark, sf_dir)
+    s = FE.standardize(p, ["reviews_count", "ram_gb"], ["product_id"])
+    return s.select("product_id", *[F.bround(c, 6).alias(c) for c in ["reviews_count", "ram_gb"]])
+
+
+def embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def q_sample_rows(spark, sf_dir):
+    return FE.sample_rows(embeddings(spark, sf_dir).select("vec_id", "label"), 300, "vec_id")
+
+
+def q_split_stratified(spark, sf_dir):
+    y, _ = FE.prepare_target(products(spark, sf_dir), "rating")
+    s = FE.split_flag(y, "product_id")
+    return s.groupBy("y", "is_test").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_content_knn(spark, sf_dir):
+    return NB.content_knn(embeddings(spark, sf_dir), "vec_id", "embedding", "label",
+                          "classification", n=300, k=5)
+
+
+def q_svd_knn(spark, sf_dir):
+    out, _ = NB.svd_knn(embeddings(spark, sf_dir), "vec_id", "embedding", "label",
+                        "classification", n=600, k=7, components=15)
+    return out
+
+
+def _star_vs_label(spark, sf_dir):
+    s = scored(spark, sf_dir).where(F.col("star_rating").isNotNull())
+    pred = (F.when(F.col("sentiment") == NEGATIVE, 0).when(F.col("sentiment") == NEUTRAL, 1)
+            .when(F.col("sentiment") == POSITIVE, 2))
+    return s.select(C.sentiment_bins("star_rating").cast("double").alias("label"),
+                    pred.cast("double").alias("prediction"), "star_rating", "compound")
+
+
+def q_weighted_metrics(spark, sf_dir):
+    """How well the lexicon label predicts the star class (P24 bins of star ratings)."""
+    return classification_metrics(_star_vs_label(spark, sf_dir))
+
+
+def q_regression_metrics(spark, sf_dir):
+    """Star rating predicted as 3 + 2 * compound."""
+    s = _star_vs_label(spark, sf_dir)
+    return regression_metrics(s.select(F.col("star_rating").alias("label"),
+                                       (F.lit(3.0) + 2.0 * F.col("compound")).alias("prediction")))
+
+
+def q_feature_matrix(spark, sf_dir):
+    X, feats = FE.feature_table(products(spark, sf_dir), exclude="rating")
+    from pyspark.ml.feature import VectorAssembler
+    return VectorAssembler(inputCols=feats, outputCol="features").transform(X).select(
+        "product_id", "features")
+
+
+# Registered training run: reference model sizes would take many minutes per
+# run on one machine, so trees are smaller here (library default: ModelSizes()).
+TRAIN_SIZES = ModelSizes(forest_trees=30, forest_depth=8, gbt_iters=20)
+
+
+@lru_cache(maxsize=4)
+def _model_results_rows(sf_dir: str) -> tuple:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    res = train_all_targets(products(spark, sf_dir), sizes=TRAIN_SIZES)
+    return tuple(tuple(r) for r in res.collect()), res.schema.json()
+
+
+def model_results(spark, sf_dir):
+    """model_results for every target; the table is a few rows per target, kept per run."""
+    import json
+    from pyspark.sql.types import StructType
+    rows, schema = _model_results_rows(sf_dir)
+    return spark.createDataFrame(list(rows), StructType.fromJson(json.loads(schema)))
+
+
+def _targets(spark, sf_dir):
+    return [r["target"] for r in model_results(spark, sf_dir).select("target").distinct()
+            .orderBy("target").collect()]
+
+
+def q_train_all_targets(spark, sf_dir):
+    return model_results(spark, sf_dir)
+
+
+def q_model_scoreboard(spark, sf_dir):
+    return SB.scoreboard(model_results(spark, sf_dir))
+
+
+def q_best_per_target(spark, sf_dir):
+    return SB.best_per_column(model_results(spark, sf_dir), _targets(spark, sf_dir))
+
+
+def q_score_shares(spark, sf_dir):
+    return SB.score_features(model_results(spark, sf_dir))
+
+
+def q_score_matrix(spark, sf_dir):
+    return SB.score_matrix(model_results(spark, sf_dir), _targets(spark, sf_dir))
+
+
+def q_event_windows(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return daily_event_windows(ev)
+
+
+QUERIES.update({
+    "median_impute": q_median_impute,
+    "label_encode": q_label_encode,
+    "rating_bins": q_rating_bins,
+    "rare_class_filter": q_rare_class_filter,
+    "prepare_target": q_prepare_target,
+    "tfidf_titles": q_tfidf_titles,
+    "tfidf_bigrams": q_tfidf_bigrams,
+    "standardize": q_standardize,
+    "sample_rows": q_sample_rows,
+    "split_stratified": q_split_stratified,
+    "content_knn": q_content_knn,
+    "svd_knn": q_svd_knn,
+    "weighted_metrics": q_weighted_metrics,
+    "regression_metrics": q_regression_metrics,
+    "feature_matrix": q_feature_matrix,
+    "event_windows": q_event_windows,
+    "train_all_targets": q_train_all_targets,
+    "model_scoreboard": q_model_scoreboard,
+    "best_per_target": q_best_per_target,
+    "score_shares": q_score_shares,
+    "score_matrix": q_score_matrix,
+})

@@ -483,3 +483,149 @@ WHERE price_clean IS NOT NULL AND rating_clean IS NOT NULL
     "top_negative": with_scored(_top_reviews("Negative", 5)),
     "category_top_reviews": with_scored(_top_reviews("Positive", 6, "category")),
 }
+
+
+# --- features, neighbours, metrics ------------------------------------------
+
+from ..operators.features import HASH_MOD, HASH_MULT, TOKEN_PATTERN, spark_stop_words_file  # noqa: E402
+
+STOPS = _values([(q(w),) for w in spark_stop_words_file()], "w")
+
+
+def _hash(col: str) -> str:
+    return f"((({col}) + 42) * {HASH_MULT}) % {HASH_MOD}"
+
+
+def _bins(c: str, edges: list[float]) -> str:
+    parts = [f"WHEN {c} >= 0 AND {c} <= {edges[0]} THEN 0"]
+    for i in range(1, len(edges)):
+        parts.append(f"WHEN {c} > {edges[i-1]} AND {c} <= {edges[i]} THEN {i}")
+    return "CASE " + " ".join(parts) + " ELSE 1 END"
+
+
+NUMERIC_SQL = {
+    "_price": _parse_num("price"),
+    "_rating": _parse_num("rating"),
+    "_revn": _parse_num("total_reviews"),
+    "_weight": _parse_num("weight"),
+    "_batt": "TRY_CAST(battery_power_rating AS DOUBLE)",
+    "_ravg": _rev_rating("reviews_rating"),
+    "_rcnt": "CAST(CASE WHEN reviews IS NULL THEN 0 ELSE len(string_split(reviews, '||')) END AS DOUBLE)",
+}
+
+
+def _tfidf(text: str, limit: int, bigrams: bool) -> str:
+    pat = q(TOKEN_PATTERN)
+    toks = f"regexp_extract_all(lower(coalesce({text}, '')), {pat})"
+    terms = f"""
+t0 AS (SELECT product_id, unnest({toks}) AS term, generate_subscripts({toks}, 1) AS pos FROM products),
+t1 AS (SELECT product_id, term, row_number() OVER (PARTITION BY product_id ORDER BY pos) AS p
+       FROM t0 WHERE term NOT IN (SELECT w FROM {STOPS})),"""
+    if bigrams:
+        terms += """
+terms AS (SELECT product_id, term FROM t1 UNION ALL
+          SELECT a.product_id, a.term || ' ' || b.term FROM t1 a JOIN t1 b
+          ON a.product_id = b.product_id AND b.p = a.p + 1),"""
+    else:
+        terms += "\nterms AS (SELECT product_id, term FROM t1),"
+    return f"""SELECT * FROM (WITH {terms}
+tf AS (SELECT product_id, term, count(*) AS tf FROM terms GROUP BY product_id, term),
+vocab AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term
+          ORDER BY cf DESC, term ASC LIMIT {limit}),
+nd AS (SELECT count(*) AS n FROM products),
+w AS (SELECT tf.product_id, tf.term, tf.tf * (ln((1.0 + nd.n) / (1.0 + v.df)) + 1.0) AS w
+      FROM tf JOIN vocab v ON v.term = tf.term CROSS JOIN nd),
+norms AS (SELECT product_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY product_id)
+SELECT w.product_id, w.term, round_even(w.w / norms.norm, 6) AS weight
+FROM w JOIN norms ON norms.product_id = w.product_id) x"""
+
+
+_SAMPLE300 = f"""(SELECT vec_id, label, embedding FROM embeddings
+  ORDER BY {_hash('vec_id')}, vec_id LIMIT 300)"""
+
+_STAR_VS_LABEL = f"""
+, sv AS (
+  SELECT CAST({_bins('star_rating', [2.5, 3.5, 5.01])} AS DOUBLE) AS label,
+    CAST(CASE sentiment WHEN 'Negative' THEN 0 WHEN 'Neutral' THEN 1 WHEN 'Positive' THEN 2 END AS DOUBLE)
+      AS prediction, star_rating, compound
+  FROM scored WHERE star_rating IS NOT NULL)"""
+
+ORACLE.update({
+    "median_impute": with_base(f"""
+SELECT product_id, {', '.join(f'coalesce({k}, median({k}) OVER ()) AS {k}' for k in NUMERIC_SQL)}
+FROM (SELECT product_id, {', '.join(f'{v} AS {k}' for k, v in NUMERIC_SQL.items())} FROM products) x"""),
+    "label_encode": with_base("""
+SELECT product_id, manufacturer,
+  CAST(dense_rank() OVER (ORDER BY coalesce(manufacturer, 'Unknown')) - 1 AS INTEGER) AS manufacturer_code
+FROM products"""),
+    "rating_bins": with_base(f"""
+SELECT product_id, {_parse_num('rating')} AS rating_num,
+  {_bins(_parse_num('rating'), [2, 3, 4, 5.01])} AS rating_bin,
+  {_bins(_rev_rating('reviews_rating'), [2.5, 3.5, 5.01])} AS review_bin
+FROM products"""),
+    "rare_class_filter": with_base("""
+SELECT * FROM (WITH y AS (SELECT product_id, title, coalesce(title, 'Unknown') AS v FROM products),
+top AS (SELECT v FROM y GROUP BY v ORDER BY count(*) DESC, v ASC LIMIT 15),
+m AS (SELECT product_id, title, CASE WHEN v IN (SELECT v FROM top) THEN v ELSE 'Other' END AS title_class FROM y)
+SELECT * FROM m WHERE title_class IN (SELECT title_class FROM m GROUP BY title_class HAVING count(*) >= 4)) x"""),
+    "prepare_target": with_base(f"""
+SELECT product_id, CAST({_bins('v', [2, 3, 4, 5.01])} AS DOUBLE) AS y
+FROM (SELECT product_id, {_parse_num('rating')} AS v FROM products) x WHERE v IS NOT NULL"""),
+    "tfidf_titles": with_base(_tfidf("title", 60, False)),
+    "tfidf_bigrams": with_base(_tfidf("coalesce(reviews, 'no review')", 500, True)),
+    "standardize": with_base("""
+SELECT product_id,
+  round_even((reviews_count - avg(reviews_count) OVER ()) / stddev_pop(reviews_count) OVER (), 6) AS reviews_count,
+  round_even((ram_gb - avg(ram_gb) OVER ()) / stddev_pop(ram_gb) OVER (), 6) AS ram_gb
+FROM products"""),
+    "sample_rows": f"SELECT vec_id, label FROM embeddings ORDER BY {_hash('vec_id')}, vec_id LIMIT 300",
+    "split_stratified": with_base(f"""
+SELECT y, is_test, count(*) AS rows FROM (
+  SELECT CAST({_bins('v', [2, 3, 4, 5.01])} AS DOUBLE) AS y, ({_hash('product_id')}) % 1000 < 200 AS is_test
+  FROM (SELECT product_id, {_parse_num('rating')} AS v FROM products) a WHERE v IS NOT NULL) b
+GROUP BY y, is_test"""),
+    "content_knn": f"""
+WITH s AS {_SAMPLE300},
+u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM s),
+nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM u GROUP BY vec_id),
+un AS (SELECT u.vec_id, u.i, CASE WHEN nrm.n > 0 THEN u.x / nrm.n ELSE 0.0 END AS x
+       FROM u JOIN nrm ON nrm.vec_id = u.vec_id),
+sim AS (SELECT a.vec_id AS qv, b.vec_id AS cv, round_even(sum(a.x * b.x), 6) AS sim
+        FROM un a JOIN un b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
+top AS (SELECT qv, cv FROM (SELECT *, row_number() OVER (PARTITION BY qv ORDER BY sim DESC, cv ASC) AS r
+        FROM sim) z WHERE r <= 5),
+votes AS (SELECT t.qv, s.label AS nbr_y, count(*) AS votes FROM top t JOIN s ON s.vec_id = t.cv
+          GROUP BY t.qv, s.label),
+pred AS (SELECT qv, nbr_y FROM (SELECT *, row_number() OVER (PARTITION BY qv ORDER BY votes DESC, nbr_y ASC)
+         AS rr FROM votes) z WHERE rr = 1)
+SELECT s.vec_id, CAST(s.label AS DOUBLE) AS label, CAST(pred.nbr_y AS DOUBLE) AS prediction
+FROM s JOIN pred ON pred.qv = s.vec_id""",
+    "weighted_metrics": with_scored(_STAR_VS_LABEL + """,
+conf AS (SELECT label AS l, prediction AS p, count(*) AS n FROM sv GROUP BY label, prediction),
+bl AS (SELECT l, sum(n) AS support, sum(CASE WHEN l = p THEN n END) AS tp, sum(n * (l - p) ^ 2) AS sq
+       FROM conf GROUP BY l),
+bp AS (SELECT p AS l, sum(n) AS predicted FROM conf GROUP BY p),
+per AS (SELECT bl.support, coalesce(bl.tp, 0) AS tp, bl.sq,
+          CASE WHEN bp.predicted > 0 THEN coalesce(bl.tp, 0) / bp.predicted ELSE 0.0 END AS pr,
+          coalesce(bl.tp, 0) / bl.support AS re
+        FROM bl LEFT JOIN bp ON bp.l = bl.l),
+per2 AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END AS f1 FROM per)
+SELECT round_even(sum(tp) / sum(support), 6) AS accuracy,
+  round_even(sum(support * pr) / sum(support), 6) AS "precision",
+  round_even(sum(support * re) / sum(support), 6) AS recall,
+  round_even(sum(support * f1) / sum(support), 6) AS f1,
+  round_even(sqrt(sum(sq) / sum(support)), 6) AS rmse, CAST(sum(support) AS BIGINT) AS rows
+FROM per2"""),
+    "regression_metrics": with_scored(_STAR_VS_LABEL + """,
+rp AS (SELECT star_rating AS y, 3.0 + 2.0 * compound AS p FROM sv),
+agg AS (SELECT sqrt(avg((y - p) ^ 2)) AS rmse, sum((y - p) ^ 2) AS sse,
+          sum(y * y) - sum(y) * sum(y) / count(*) AS sst,
+          avg(greatest(0.0, 1 - abs(p - y) / (abs(y) + 1e-6))) AS closeness, count(*) AS rows FROM rp),
+r AS (SELECT *, CASE WHEN sst > 0 THEN 1 - sse / sst ELSE 0.0 END AS r2 FROM agg)
+SELECT round_even(rmse, 6) AS rmse, round_even(r2, 6) AS r2, round_even(greatest(0.0, r2), 6) AS r2_clipped,
+  round_even(closeness, 6) AS closeness, rows FROM r"""),
+    "event_windows": """
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+  event_type, count(*) AS events, round_even(avg(value), 6) AS mean_value
+FROM events GROUP BY date_trunc('day', ts), event_type""",
+})
