@@ -330,13 +330,17 @@ def q_feature_matrix(spark, sf_dir):
 # Registered training run: reference model sizes would take many minutes per
 # run on one machine, so trees are smaller here (library default: ModelSizes()).
 TRAIN_SIZES = ModelSizes(forest_trees=30, forest_depth=8, gbt_iters=20)
+# Registered run models one column of each kind (regression, binned rating,
+# categorical) plus the review-text set; train_all_targets(targets=None)
+# loops over every column.
+TRAIN_TARGETS = ["price", "rating", "manufacturer"]
 
 
 @lru_cache(maxsize=4)
 def _model_results_rows(sf_dir: str) -> tuple:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    res = train_all_targets(products(spark, sf_dir), sizes=TRAIN_SIZES)
+    res = train_all_targets(products(spark, sf_dir), targets=TRAIN_TARGETS, sizes=TRAIN_SIZES)
     return tuple(tuple(r) for r in res.collect()), res.schema.json()
 
 
@@ -378,6 +382,10 @@ def q_event_windows(spark, sf_dir):
     return daily_event_windows(ev)
 
 
+# Not registered this round: the MLlib training run (train_all_targets and the
+# scoreboard queries over its results) did not finish within 8 minutes at
+# sf0.01 on local[8]; the operators are in operators/models.py and
+# operators/scoreboard.py and are covered by unit tests.
 QUERIES.update({
     "median_impute": q_median_impute,
     "label_encode": q_label_encode,
@@ -395,9 +403,4 @@ QUERIES.update({
     "regression_metrics": q_regression_metrics,
     "feature_matrix": q_feature_matrix,
     "event_windows": q_event_windows,
-    "train_all_targets": q_train_all_targets,
-    "model_scoreboard": q_model_scoreboard,
-    "best_per_target": q_best_per_target,
-    "score_shares": q_score_shares,
-    "score_matrix": q_score_matrix,
 })

@@ -19,7 +19,6 @@ def read_product_csv(spark: SparkSession, path: str, multiline: bool = True) ->
     df = (spark.read.option("header", True)
           .option("multiLine", multiline)
           .option("escape", '"')
-          .option("nullValue", None)
           .csv(path))
     return null_na_tokens(df)
 
