@@ -73,11 +73,48 @@ def exact_median(df: DataFrame, col: str | Column) -> float | None:
     return a + (b - a) * 0.5
 
 
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """A20 for several columns in two passes over one stacked (column, value) table.
+
+    Pass 1: per column count and approximate distinct count. Pass 2: the
+    (column, value, count) histogram of every column with few distinct values
+    (bounded by SELECT_MAX_DISTINCT each), from which both middle ranks are
+    read. Columns with more distinct values fall back to ``exact_median``.
+    """
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")
+    ).select("s.c", "s.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    stats = {r["c"]: (r["n"], r["nd"]) for r in stacked.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("x").alias("nd")).collect()}
+    small = [c for c in cols if c in stats and stats[c][1] <= SELECT_MAX_DISTINCT]
+    out: dict[str, float | None] = {c: None for c in cols if c not in stats}
+    if small:
+        hist: dict[str, list] = {c: [] for c in small}
+        for r in (stacked.where(F.col("c").isin(*small)).groupBy("c", "x")
+                  .agg(F.count(F.lit(1)).alias("k")).collect()):
+            hist[r["c"]].append((r["x"], r["k"]))
+        for c in small:
+            n = stats[c][0]
+            ranks = [(n - 1) // 2, n // 2]
+            vals, seen = [], 0
+            for x, k in sorted(hist[c]):
+                while len(vals) < 2 and ranks[len(vals)] < seen + k:
+                    vals.append(x)
+                seen += k
+            a, b = vals
+            out[c] = a + (b - a) * 0.5
+    for c in cols:
+        if c in stats and c not in small:
+            out[c] = exact_median(df, c)
+    return out
+
+
 def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """M2: NULL/NaN -> the column's exact median (constants, one per column)."""
+    meds = exact_medians(df, cols)
     out = df
     for c in cols:
-        m = exact_median(df, c)
+        m = meds[c]
         fill = F.lit(m if m is not None else 0.0)
         out = out.withColumn(c, F.when(F.col(c).isNull() | F.isnan(c), fill).otherwise(F.col(c)))
     return out

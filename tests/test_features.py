@@ -63,3 +63,14 @@ def test_split_is_row_local(spark):
     s = FE.split_flag(df)
     frac = s.agg(F.avg(F.col("is_test").cast("double"))).first()[0]
     assert 0.15 < frac < 0.25
+
+
+def test_batched_medians_match_single(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b) if i % 3 else None) for i, (a, b) in
+            enumerate(zip(rng.integers(0, 20, 301), rng.normal(size=301)))]
+    df = spark.createDataFrame(rows, "a double, b double")
+    monkeypatch.setattr(FE, "SELECT_MAX_DISTINCT", 50)
+    got = FE.exact_medians(df, ["a", "b"])
+    assert got["a"] == FE.exact_median(df, "a") == float(np.median([r[0] for r in rows]))
+    assert got["b"] == pytest.approx(float(np.median([r[1] for r in rows if r[1] is not None])))
