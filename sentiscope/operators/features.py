@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import StopWordsRemover, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..functions.lookups import (
     CATEGORICAL_FEATURES,
+    ENGLISH_STOP_WORDS,
     RATING_TARGETS,
     REGRESSION_TARGETS,
 )
@@ -202,24 +203,6 @@ def split_flag(df: DataFrame, id_col: str = "product_id", test_fraction: float =
 
 # --- text features ----------------------------------------------------------
 
-def stop_words(spark: SparkSession | None = None) -> list[str]:
-    """Spark's built-in English stop list (a parameter wherever it is used)."""
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
-def spark_stop_words_file() -> list[str]:
-    """The same list read from the Spark ML jar (no JVM needed)."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return [w for w in text.split("\n") if w]
-
-
 def _terms(df: DataFrame, id_col: str, text_col: str, stops: list[str], ngram: int) -> DataFrame:
     toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
     toks = F.filter(toks, lambda t: ~t.isin(*stops)) if stops else toks
@@ -242,7 +225,7 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int,
     aggregation; the vocabulary has at most ``max_features`` rows, so it
     broadcasts.
     """
-    stops = stop_words() if stops is None else stops
+    stops = ENGLISH_STOP_WORDS if stops is None else stops
     n_docs = df.count()
     terms = _terms(df, id_col, text_col, stops, ngram)
     tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -487,9 +487,10 @@ WHERE price_clean IS NOT NULL AND rating_clean IS NOT NULL
 
 # --- features, neighbours, metrics ------------------------------------------
 
-from ..operators.features import HASH_MOD, HASH_MULT, TOKEN_PATTERN, spark_stop_words_file  # noqa: E402
+from ..functions.lookups import ENGLISH_STOP_WORDS  # noqa: E402
+from ..operators.features import HASH_MOD, HASH_MULT, TOKEN_PATTERN  # noqa: E402
 
-STOPS = _values([(q(w),) for w in spark_stop_words_file()], "w")
+STOPS = _values([(q(w),) for w in ENGLISH_STOP_WORDS], "w")
 
 
 def _hash(col: str) -> str:
