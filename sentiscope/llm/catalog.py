@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .decontaminate import hit_report
 from .oracle import ORACLE
 from .quality_rules import quality_report
 
@@ -12,7 +13,13 @@ def op9_quality_rules(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    """Hit words and matched benchmark items of every document."""
+    return hit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if k in QUERIES}

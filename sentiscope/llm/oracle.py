@@ -47,6 +47,31 @@ v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM v
 """
 
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '{NOT_WORD}'), lambda x: x <> '') AS w
+           FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array({_LOWERED}, '{NOT_WORD}'), lambda x: x <> '') AS w
+      FROM benchmark),
+bl AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+bp AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM bl),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM bp),
+lens AS (SELECT DISTINCT n FROM bw),
+dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n),
+dw AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM dp),
+hit AS (SELECT doc_id, p, n, item_id FROM dw JOIN bw USING (n, s)),
+cov AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM hit, range(10) r(k) WHERE k < n GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
 ORACLE = {
+    "op3_decontamination": DECONTAMINATION,
     "op9_quality_rules": QUALITY,
 }
