@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from .common import table
 from .decontaminate import hit_report
+from .minhash import near_duplicates
 from .oracle import ORACLE
 from .quality_rules import quality_report
 
 
+def op5_minhash_dedup(spark, sf_dir):
+    """Near-duplicate components of all documents at a Jaccard similarity of 0.85."""
+    return near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
+
+
 def op9_quality_rules(spark, sf_dir):
     """Rule measures and verdict of every document."""
     return quality_report(table(spark, sf_dir, "documents"))
@@ -20,6 +26,7 @@ def op3_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if k in QUERIES}

@@ -71,7 +71,24 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '{WS}'), lambda x: x <> '') AS w
+                     FROM documents),
+p AS (SELECT doc_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i
+      FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM p),
+c AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (k, g)
+      WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b
+      WHERE 100 * i >= 85 * (ca.n + cb.n - i)),
+r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.to_id = e.a)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.to_id AS component_id, d.doc_id = m.to_id AS kept
+FROM d JOIN (SELECT doc_id, min(to_id) AS to_id FROM r GROUP BY doc_id) m USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 ORACLE = {
+    "op5_minhash_dedup": NEAR_DUPLICATES,
     "op3_decontamination": DECONTAMINATION,
     "op9_quality_rules": QUALITY,
 }
