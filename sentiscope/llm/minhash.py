@@ -13,7 +13,8 @@ work is on classes. Classes that share a band meet in a bucket:
   signature agreement, at most one pair per class, in blocks of BLOCK classes;
 * once the components of the verified pairs are known, the classes of a larger
   bucket that lie outside its main component are compared with all of its
-  classes of other components, in blocks, and every pair whose signatures do
+  classes of other components, in blocks, and every pair whose signatures and
+  longer sketches (1,024 further coordinates, made only for these classes) do
   not rule out the threshold is verified as well.
 
 So a link between two texts that share a bucket is lost only where it joins
@@ -47,6 +48,7 @@ from .components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 30, 4
 COORDS = BANDS * ROWS
+LONG = 1024
 SMALL = 8
 BLOCK = 2048
 CACHE = 1 << 18
@@ -86,11 +88,11 @@ def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(_mix64(ids))
 
 
-def signature(ids: np.ndarray) -> bytes:
-    """COORDS circulant MinHash coordinates, the low 16 bits of each, little-endian."""
+def coordinates(ids: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Circulant MinHash coordinates first .. first + count - 1 of a non-empty set."""
     sigma = (_mix64(ids ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
-    least = np.full(COORDS, 0xFFFFFFFF, np.uint32)
-    shift = np.arange(COORDS, dtype=np.uint32)[:, None]
+    least = np.full(count, 0xFFFFFFFF, np.uint32)
+    shift = np.arange(first, first + count, dtype=np.uint32)[:, None]
     for at in range(0, len(sigma), 512):  # blocks that stay in cache
         x = sigma[None, at:at + 512] + shift
         x ^= x >> np.uint32(16)
@@ -99,7 +101,17 @@ def signature(ids: np.ndarray) -> bytes:
         x *= np.uint32(0xC2B2AE35)
         x ^= x >> np.uint32(16)
         np.minimum(least, x.min(axis=1), out=least)
-    return (least & np.uint32(0xFFFF)).astype("<u2").tobytes()
+    return least
+
+
+def signature(ids: np.ndarray) -> bytes:
+    """COORDS coordinates, the low 16 bits of each, little-endian."""
+    return (coordinates(ids, 0, COORDS) & np.uint32(0xFFFF)).astype("<u2").tobytes()
+
+
+def sketch(ids: np.ndarray) -> bytes:
+    """LONG further coordinates, the low 8 bits of each, for a closer estimate."""
+    return (coordinates(ids, COORDS, LONG) & np.uint32(0xFF)).astype(np.uint8).tobytes()
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +147,16 @@ def signatures(docs: DataFrame) -> DataFrame:
         _sign, f"doc_id {kind}, n_shingles long, digest binary, sig binary")
 
 
-def least_agreement(num: int, den: int) -> int:
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [sketch(np.asarray(x.as_py(), np.int64).view(np.uint64)) for x in b.column("ids")]
+        yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(out, pa.binary())], ["digest", "sketch"])
+
+
+def least_agreement(num: int, den: int, coords: int = COORDS) -> int:
     """Coordinates that a pair at the threshold shares but for a chance of about 1e-7."""
     t = num / den
-    return int(COORDS * max(0.0, t - 5.2 * (t * (1 - t) / COORDS) ** 0.5))
+    return int(coords * max(0.0, t - 5.2 * (t * (1 - t) / coords) ** 0.5))
 
 
 def _matrix(p: pd.DataFrame) -> np.ndarray:
@@ -166,10 +184,13 @@ def _forest(least: int, num: int, den: int):
     return pairs
 
 
-def _across(least: int, num: int, den: int):
+def _across(num: int, den: int):
     """Pairs of one block of outside classes with one block of all classes, of other components."""
+    least, least_long = least_agreement(num, den), least_agreement(num, den, LONG)
+
     def pairs(p: pd.DataFrame) -> pd.DataFrame:
         sig, size, comp = _matrix(p), p["n_shingles"].to_numpy(), p["comp"].to_numpy()
+        close = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(-1, LONG)
         ids, band = p["digest"].to_list(), int(p["band"].iloc[0])
         outside, out = p["outside"].to_numpy(), []
         rest = np.flatnonzero(~outside)
@@ -179,9 +200,10 @@ def _across(least: int, num: int, den: int):
             ok = (agree.sum(axis=1) >= least) & (den * np.minimum(s, size[i]) >= num * np.maximum(s, size[i]))
             if band:  # a pair is taken up in the first band that it shares
                 ok &= ~agree[:, :band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
-            for j in rest[ok]:
-                if comp[j] != comp[i]:
-                    out.append((ids[i], ids[j]))
+            js = rest[ok]
+            js = js[comp[js] != comp[i]]
+            js = js[(close[js] == close[i]).sum(axis=1) >= least_long]
+            out += [(ids[i], ids[j]) for j in js]
         return pd.DataFrame(out, columns=["x", "y"])
     return pairs
 
@@ -241,7 +263,8 @@ def _spanning_pairs(buckets: DataFrame, classes: DataFrame, num: int, den: int)
     return _ordered(small.union(large))
 
 
-def _crossing_pairs(buckets: DataFrame, classes: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame | None:
+def _crossing_pairs(buckets: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame,
+                    num: int, den: int) -> DataFrame | None:
     """Pairs across components within the larger buckets, or None where there are none."""
     rows = (buckets.where(F.col("n") > SMALL)
             .join(comps, F.col("digest") == F.col("node"), "left")
@@ -262,9 +285,11 @@ def _crossing_pairs(buckets: DataFrame, classes: DataFrame, comps: DataFrame, nu
                         block("n").alias("i"), every("n_out").alias("j"))
     outside = d.where("outside").select("bucket", "band", "digest", "comp", "outside",
                                         block("n_out").alias("j"), every("n").alias("i"))
-    t = everyone.unionByName(outside).join(classes.select("digest", "n_shingles", "sig"), "digest")
-    return _ordered(t.groupBy("bucket", "i", "j").applyInPandas(
-        _across(least_agreement(num, den), num, den), PAIR))
+    close = sets.join(d.select("digest").distinct(), "digest", "left_semi").mapInArrow(
+        _sketches, "digest binary, sketch binary")
+    marks = materialize(classes.select("digest", "n_shingles", "sig").join(close, "digest"), "dedup-sketches")
+    t = everyone.unionByName(outside).join(marks, "digest")
+    return _ordered(t.groupBy("bucket", "i", "j").applyInPandas(_across(num, den), PAIR))
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -279,7 +304,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     sets = _sets(docs, classes, buckets)
     links = materialize(verified(_spanning_pairs(buckets, classes, num, den), sets, num, den), "dedup-links")
     comps = connected_components(links)
-    more = _crossing_pairs(buckets, classes, comps, num, den)
+    more = _crossing_pairs(buckets, classes, sets, comps, num, den)
     if more is not None:
         found = materialize(verified(more, sets, num, den), "dedup-more")
         if not found.isEmpty():
