@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from . import bpe
 from .common import table
 from .decontaminate import hit_report
 from .minhash import near_duplicates
 from .oracle import ORACLE
 from .quality_rules import quality_report
+from .token_store import token_digests
+
+
+def tokenizer(name: str) -> str:
+    """Path of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark, sf_dir):
+    """Token ids of all documents, written as patched frame-of-reference files and read back."""
+    return token_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
 def op5_minhash_dedup(spark, sf_dir):
@@ -14,6 +28,11 @@ def op5_minhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
 
 
+def op7_bpe(spark, sf_dir):
+    """Byte-level BPE ids of all documents and the texts decoded from them."""
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ["doc_id"])
+
+
 def op9_quality_rules(spark, sf_dir):
     """Rule measures and verdict of every document."""
     return quality_report(table(spark, sf_dir, "documents"))
@@ -26,7 +45,9 @@ def op3_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_token_files": op4_token_files,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op7_bpe": op7_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if k in QUERIES}
