@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import bpe
 from .common import table
 from .decontaminate import hit_report
+from .langid import predict_languages
 from .minhash import near_duplicates
 from .oracle import ORACLE
 from .quality_rules import quality_report
@@ -33,6 +34,11 @@ def op7_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ["doc_id"])
 
 
+def op8_language_id(spark, sf_dir):
+    """Predicted language of every document, learnt from the rows that aren't held out."""
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     """Rule measures and verdict of every document."""
     return quality_report(table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_bpe": op7_bpe,
+    "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if k in QUERIES}
