@@ -8,6 +8,7 @@ from .decontaminate import hit_report
 from .langid import predict_languages
 from .minhash import near_duplicates
 from .oracle import ORACLE
+from .quality_model import score_documents
 from .quality_rules import quality_report
 from .token_store import token_digests
 
@@ -44,12 +45,18 @@ def op9_quality_rules(spark, sf_dir):
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_model(spark, sf_dir):
+    """Quality score of every document, learnt from the labels that aren't held out."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark, sf_dir):
     """Hit words and matched benchmark items of every document."""
     return hit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_quality_model": op1_quality_model,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op5_minhash_dedup": op5_minhash_dedup,
