@@ -8,6 +8,7 @@ from .decontaminate import hit_report
 from .langid import predict_languages
 from .minhash import near_duplicates
 from .oracle import ORACLE
+from .pii import span_report
 from .quality_model import score_documents
 from .quality_rules import quality_report
 from .token_store import token_digests
@@ -50,6 +51,11 @@ def op1_quality_model(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark, sf_dir):
+    """Personal data spans of every document: base patterns and the CRF's."""
+    return span_report(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark, sf_dir):
     """Hit words and matched benchmark items of every document."""
     return hit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,6 +63,7 @@ def op3_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_model": op1_quality_model,
+    "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op5_minhash_dedup": op5_minhash_dedup,
