@@ -13,6 +13,8 @@ from .quality_model import score_documents
 from .quality_rules import quality_report
 from .token_store import token_digests
 
+from .url_filter import judge_pages
+
 
 def tokenizer(name: str) -> str:
     """Path of an installed public tokenizer file."""
@@ -61,6 +63,11 @@ def op3_decontamination(spark, sf_dir):
     return hit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_url_filter(spark, sf_dir):
+    """Rule and verdict of every page url, block decisions shared among aliases."""
+    return judge_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_pii": op2_pii,
@@ -70,5 +77,6 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if k in QUERIES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import url_filter
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, WINDOW
 
 
@@ -87,7 +88,65 @@ SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.to_id AS component_id
 FROM d JOIN (SELECT doc_id, min(to_id) AS to_id FROM r GROUP BY doc_id) m USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+
+
+def _host(u: str) -> str:
+    return (f"translate(CASE WHEN contains({u}, '://') THEN regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's') ELSE '' END, "
+            "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+
+def _path(u: str) -> str:
+    return f"CASE WHEN contains({u}, '://') THEN regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END"
+
+
+def _rule_case(host: str, path: str, want: int) -> str:
+    cases = []
+    for rule in sorted(url_filter.RULES, key=lambda r: -len(r[0])):
+        h, p = rule[0].split("/", 1)
+        cases.append(f"WHEN ({host} = {q(h)} OR ends_with({host}, {q('.' + h)})) AND starts_with({path}, {q('/' + p)}) "
+                     f"THEN {q(rule[want])}")
+    return f"CASE {' '.join(cases)} END"
+
+
+def _form(u: str) -> str:
+    return (f"CASE WHEN contains({u}, '://') THEN regexp_replace({_host(u)}, ':(80|443)$', '') || "
+            f"regexp_replace({_path(u)}, '/+$', '') || '?' || array_to_string(list_sort(list_filter("
+            f"string_split(regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1), '&'), "
+            f"lambda x: x <> '' AND NOT regexp_matches(x, {q(url_filter.TRACKING)}))), '&') END")
+
+
+def _absolute(h: str, base: str) -> str:
+    return (f"CASE WHEN regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {h} "
+            f"WHEN starts_with({h}, '//') THEN split_part({base}, '://', 1) || ':' || {h} "
+            f"WHEN starts_with({h}, '/') THEN split_part({base}, '://', 1) || '://' || {_host(base)} || {h} END")
+
+
+URLS = f"""
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(list_concat(
+    list_transform(regexp_extract_all(html, {q(url_filter.CANONICAL)}), lambda t: regexp_extract(t, {q(url_filter.HREF)}, 1)),
+    list_transform(regexp_extract_all(html, {q(url_filter.REFRESH)}), lambda t: regexp_extract(t, {q(url_filter.REFRESH_URL)}, 1))
+  )) AS t FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+hrefs AS (SELECT url, replace(t, '&amp;', '&') AS h FROM tags),
+links AS (SELECT url AS src, {_absolute('h', 'url')} AS dst FROM hrefs),
+e AS (SELECT {_form('src')} AS u, {_form('dst')} AS v, src, dst FROM links WHERE dst IS NOT NULL),
+und AS (SELECT u AS a, v AS b FROM e WHERE u IS NOT NULL AND v IS NOT NULL
+        UNION SELECT v, u FROM e WHERE u IS NOT NULL AND v IS NOT NULL),
+reach(node, other) AS (SELECT a, a FROM und UNION SELECT reach.node, und.b FROM reach JOIN und ON reach.other = und.a),
+comp AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+urls AS (SELECT url FROM pages UNION SELECT src FROM e UNION SELECT dst FROM e),
+own AS (SELECT {_form('url')} AS form, {_rule_case(_host('url'), _path('url'), 1)} AS own FROM urls),
+shared AS (SELECT coalesce(root, form) AS root, CASE WHEN bool_or(own = 'allow') THEN 'allow' ELSE 'block' END AS shared
+           FROM own LEFT JOIN comp ON form = node WHERE form IS NOT NULL AND own IS NOT NULL GROUP BY 1),
+p AS (SELECT page_id, coalesce({_host('url')}, '') AS host, coalesce({_path('url')}, '') AS path, {_form('url')} AS form,
+             {_rule_case(_host('url'), _path('url'), 0)} AS rule, {_rule_case(_host('url'), _path('url'), 1)} AS own FROM pages)
+SELECT page_id, host, path, rule, coalesce(own, shared, 'allow') AS verdict,
+       CASE WHEN own IS NOT NULL THEN 'rule' WHEN shared IS NOT NULL THEN 'alias' ELSE 'default' END AS why
+FROM p LEFT JOIN comp ON form = node LEFT JOIN shared ON shared.root = coalesce(comp.root, form)
+"""
+
 ORACLE = {
+    "op10_url_filter": URLS,
     "op5_minhash_dedup": NEAR_DUPLICATES,
     "op3_decontamination": DECONTAMINATION,
     "op9_quality_rules": QUALITY,
