@@ -11,6 +11,7 @@ from .oracle import ORACLE
 from .pii import span_report
 from .quality_model import score_documents
 from .quality_rules import quality_report
+from .sharding import shard_report
 from .token_store import token_digests
 
 from .url_filter import judge_pages
@@ -33,6 +34,11 @@ def op5_minhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
 
 
+def op6_sharding(spark, sf_dir):
+    """Shard of every document by extendible hashing, at most 8 MiB of text a shard."""
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark, sf_dir):
     """Byte-level BPE ids of all documents and the texts decoded from them."""
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ["doc_id"])
@@ -74,6 +80,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_files": op4_token_files,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
