@@ -109,7 +109,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     """Documents without any hit, rows unchanged."""
     bad = materialize(hits(docs, benchmark_windows(benchmark, window), window)
                       .select("doc_id").distinct(), "decon-bad")
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))  # names of docs can't clash
+    bad = bad.withColumnRenamed("doc_id", "_bad")
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -121,9 +123,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
              .agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
              .withColumnRenamed("doc_id", "_d"))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
-    pieces = F.regexp_extract_all("text", F.lit(word), 0)
+    pieces = F.regexp_extract_all(F.col("_row")["text"], F.lit(word), 0)
     kept = F.filter(pieces, lambda w, i: ~F.exists("_spans", lambda s: (i >= s["first"]) & (i <= s["last"])))
-    return (docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-            .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text"))
-                        .otherwise(F.array_join(kept, "")))
-            .select(docs.columns))
+    rows = docs.select(F.struct("*").alias("_row")).join(spans, F.col("_row")["doc_id"].eqNullSafe(F.col("_d")), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("_row")["text"]).otherwise(F.array_join(kept, ""))
+    return rows.select(F.col("_row").withField("text", text).alias("_row")).select("_row.*")

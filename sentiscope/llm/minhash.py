@@ -242,7 +242,7 @@ def _sets(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFrame:
     reps = materialize(classes.join(active, "digest").select(F.col("rep").alias("_rep"), "digest"), "dedup-reps")
     wanted = reps.select("_rep").distinct()
     side = F.broadcast(wanted) if small_enough(reps.count(), 24) else wanted
-    texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_rep"))).select(
+    texts = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_rep"))).select(
         F.col("text").cast("binary").alias("text"))
     lists = texts.mapInArrow(_shingle_lists, "digest binary, ids array<long>")
     # a repeated doc_id gives its text, and so its set, more than once
@@ -322,18 +322,21 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest doc_id; rows unchanged.
 
-    Rows that repeat a kept doc_id with a text of the same component are one
-    document: any one of them stays. Rows of a null doc_id in a component
-    that has an id go; a component without any id keeps one of its rows.
+    Rows that repeat a kept doc_id are one document: any one of them stays,
+    unless none of them has a word. A doc_id that is the smallest of one
+    component and not of another stays out of neither: its rows are judged by
+    id, so all go as soon as one of them is not kept. Null doc_ids are judged
+    alike, as one id.
     """
     found = materialize(near_duplicates(docs, num, den), "dedup-found")
     kept = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("s"))
     twice = materialize(kept.where("n > 1 and s > 0").select(F.col("doc_id").alias("_t")), "dedup-twice")
     gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_g")).distinct(), "dedup-gone")
     side = F.broadcast(gone) if small_enough(gone.count(), 24) else gone
-    rest = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_g")), "left_anti")
-    if twice.isEmpty():
-        return rest
-    same = F.col("doc_id").eqNullSafe(F.col("_t"))
-    once = rest.join(twice, same, "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(twice, same, "left_anti").unionByName(once)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))  # names of docs can't clash
+    rest = rows.join(side, F.col("_id").eqNullSafe(F.col("_g")), "left_anti")
+    if not twice.isEmpty():
+        same = F.col("_id").eqNullSafe(F.col("_t"))
+        once = rest.join(twice, same, "left_semi").dropDuplicates(["_id"])
+        rest = rest.join(twice, same, "left_anti").unionByName(once)
+    return rest.select("_row.*")

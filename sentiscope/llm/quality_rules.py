@@ -150,10 +150,14 @@ def apply_rules(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     """Rows of ``df`` that pass the base rule and every rule of the table, unchanged.
 
     The input row travels as one struct, so a column named like a measure
-    neither clashes nor is lost.
+    neither clashes nor is lost. The verdict is applied by an outer explode: a
+    plain filter would be pushed below the measures, with every measure spelt
+    out, and computed, again for each use in the predicate.
     """
     packed = df.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
-    return judge(measures(packed), rules).where("kept").select("_row.*")
+    judged = judge(measures(packed), rules)
+    kept = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
+    return kept.where("_row is not null").select("_row.*")
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -149,7 +149,12 @@ def shard_report(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Write every shard to a folder of its own, ``shard=<bits>``, as one Parquet file."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    out = assign_shards(docs, ["doc_id", "text"], size, limit).drop("depth", "oversize")
+    """Write every shard to a folder of its own, ``shard=<bits>``, as one Parquet file.
+
+    An input column named shard, depth or oversize is written as one of the
+    struct ``row``, like all others.
+    """
+    rows = docs.select(F.struct("*").alias("row"))
+    size = F.coalesce(F.octet_length("row.text"), F.lit(0))
+    out = assign_shards(rows, ["row.doc_id", "row.text"], size, limit).drop("depth", "oversize")
     out.repartition("shard").write.partitionBy("shard").parquet(path)
