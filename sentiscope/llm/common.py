@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Entries of a cache, and the longest key that is kept.
+CACHE = 1 << 19
+LONGEST_KEY = 64
 # Largest table that a caller may hint for broadcast, in bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -67,3 +73,32 @@ def ws_words(c: Column) -> Column:
 def small_enough(rows: int, row_bytes: int) -> bool:
     """Whether a table of so many rows of at most ``row_bytes`` may be broadcast."""
     return rows * row_bytes <= BROADCAST_BYTES
+
+
+@contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """Python's search for reference cycles walks every cache entry again and again; the loops
+    that fill caches make no cycles, so it rests while one of them runs."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+class Cache(dict):
+    """Values of ``make(key)`` with bounded memory: emptied when full."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= LONGEST_KEY:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = value
+        return value

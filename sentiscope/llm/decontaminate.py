@@ -122,7 +122,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     spans = (hit_spans(docs, benchmark, window).groupBy("doc_id")
              .agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
              .withColumnRenamed("doc_id", "_d"))
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     pieces = F.regexp_extract_all(F.col("_row")["text"], F.lit(word), 0)
     kept = F.filter(pieces, lambda w, i: ~F.exists("_spans", lambda s: (i >= s["first"]) & (i <= s["last"])))
     rows = docs.select(F.struct("*").alias("_row")).join(spans, F.col("_row")["doc_id"].eqNullSafe(F.col("_d")), "left")

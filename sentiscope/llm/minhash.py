@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_enough
+from .common import Cache, materialize, small_enough
 from .components import connected_components
 
 SHINGLE = 5
@@ -51,29 +51,18 @@ COORDS = BANDS * ROWS
 LONG = 1024
 SMALL = 8
 BLOCK = 2048
-CACHE = 1 << 18
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                   0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word; emptied when full, so that its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes | None, hashes: Cache) -> np.ndarray:
     """Sorted distinct 64-bit ids of a text's shingles (ASCII-lower-cased words)."""
     words = (text or b"").lower().split()
     n = len(words)
@@ -115,7 +104,7 @@ def sketch(ids: np.ndarray) -> bytes:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes = Cache(xxhash.xxh3_64_intdigest)
     for b in batches:
         digests, counts, sigs = [], [], []
         for text in b.column("text"):
@@ -129,7 +118,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes = Cache(xxhash.xxh3_64_intdigest)
     for b in batches:
         digests, sets = [], []
         for text in b.column("text"):

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Cache
+
 KINDS = ["email", "ip", "card", "phone", "secret"]  # the order of spans
 BASE_KINDS = KINDS[:4]
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -88,6 +90,14 @@ copyright 2015 by the authors, all rights reserved
 - item one
 population 1234567 in 2020, area 98765 hectares
 order 884213 of 03/11/2021 shipped, 50% paid, £20 due
+Item A4 and B2B, covid19 or mp3, h264 on x86 in Q3, the 3rd, 2nd and 10th.
+alpha1 beta2 gamma3 row7 col12 v2 x1 x2 node15 abc123 section4 w10x3
+1 2 3 4 5 6 7 8 9 10 11 12 20 30 100 1000
+(1) first (2) second (a) third, no. 7, #42, -5 or +5 and +10%
+0.1 0.25 3.14 1.0 2.5e3 1e-6 1/2 3/4 16:9 3x4 7-8
+from 2020-2021 to 1990s, 1,000,000 of 12.000 at 5% or $5 or 20k
+id 12345 67890 and 5551234 units in lots of 250 500 750
+chapter1 page2 line33, see fig. 4a-4c and table12
 "quoted words" and 'single' ones, well-known facts, e.g. this
 """.strip().split("\n")
 
@@ -180,6 +190,8 @@ def features(word: str) -> list[str]:
     digits = sum(map(len, _DIGIT_RUN.findall(core)))
     out.append("digits=" + ("0" if not digits else "1-4" if digits < 5 else "5-8" if digits < 9 else "9-12"
                             if digits < 13 else "13-19" if digits < 20 else "20-"))
+    if digits and _LETTERS.search(core) and "@" not in core:
+        out.append("letters-digits")
     if core[:1] == "+":
         out.append("plus")
     if core[:1] == "(" and digits:
@@ -299,13 +311,13 @@ def train(lines: list[str] | None = None, ridge: float = 0.02, steps: int = 120,
 class Tagger:
     """Tags the words of many texts at once."""
 
-    WORDS, TOKENS = 1 << 18, 1 << 18
+    TOKENS = 1 << 18
 
     def __init__(self, crf: Crf):
         self.crf = crf
         self.types: dict[tuple[int, ...], int] = {}
         self.table = np.zeros((0, 3, len(TAGS)), np.float32)
-        self.of: dict[str, int] = {}
+        self.of = Cache(self._type)
 
     def _type(self, word: str) -> int:
         key = self.crf.known(word)
@@ -313,22 +325,14 @@ class Tagger:
         if i is None:
             i = self.types[key] = len(self.types)
             self.table = np.concatenate([self.table, self.crf.rows(key)[None]])
-        if len(self.of) >= self.WORDS:
-            self.of.clear()
-        if len(word) <= 64:
-            self.of[word] = i
         return i
 
-    def _ids(self, words: list[str]) -> np.ndarray:
-        get, new = self.of.get, self._type
-        return np.array([i if (i := get(w)) is not None else new(w) for w in words], np.int64)
-
     def tags(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Best tag sequence of each list of words."""
         sizes = [len(t) for t in texts]
         if not sum(sizes):
             return [np.zeros(0, np.int8) for _ in texts]
-        ids = [self._ids(t) for t in texts]
+        ids = [np.fromiter(map(self.of.__getitem__, t), np.int64, len(t)) for t in texts]
         gap = len(self.table)  # a row of zeros between texts
         flat = np.concatenate([np.append(i, gap) for i in ids])
         table = np.concatenate([self.table, np.zeros((1, 3, len(TAGS)), np.float32)])
