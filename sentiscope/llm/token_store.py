@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,54 +39,69 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import materialize, shared_dir
+from .common import Cache, materialize, no_cycle_search, shared_dir
 
 BLOCK = 256
 PERCENTILE = 0.9
 FILE_IDS = 1 << 24  # a file ends at the first document end after so many ids
 CHUNK = 1 << 12  # blocks packed at a time
-CACHE = 1 << 19
 MAGIC = b"PFORv001"
 
 
 # --- blocks -----------------------------------------------------------------
 
+def _word(width: int) -> str:
+    """The smallest of the two integer types that holds so many bits."""
+    return "<u2" if width <= 16 else "<u4"
+
+
 def _pack(deltas: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(deltas.astype("<u4").view(np.uint8).reshape(*deltas.shape, 4), axis=2, bitorder="little")
+    """Rows of BLOCK numbers, the low ``width`` bits of each one after the other."""
+    kind = np.dtype(_word(width))
+    bits = np.unpackbits(deltas.astype(kind).view(np.uint8).reshape(-1, BLOCK, kind.itemsize), axis=2, bitorder="little")
     return np.packbits(bits[:, :, :width].reshape(len(deltas), -1), axis=1, bitorder="little")
 
 
 def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
-    bits = np.zeros((len(packed), BLOCK, 32), np.uint8)
+    kind = np.dtype(_word(width))
+    bits = np.zeros((len(packed), BLOCK, 8 * kind.itemsize), np.uint8)
     bits[:, :, :width] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, width)
-    return np.packbits(bits.reshape(len(packed), -1), axis=1, bitorder="little").view("<u4")
+    return np.packbits(bits.reshape(len(packed), -1), axis=1, bitorder="little").view(kind)
+
+
+def _bits_needed(deltas: np.ndarray) -> np.ndarray:
+    return np.frexp(deltas.astype(np.float32 if int(deltas.max()) < 1 << 24 else np.float64))[1].astype(np.uint8)
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Blocks of a stream of unsigned 32-bit ids; all but the last hold BLOCK ids."""
     out: list[bytes] = []
+    rank = int(np.ceil(PERCENTILE * BLOCK)) - 1
     for at in range(0, len(ids), CHUNK * BLOCK):
         part = ids[at:at + CHUNK * BLOCK]
         n = -(-len(part) // BLOCK)
         full = np.concatenate([part, np.full(n * BLOCK - len(part), part[-1], part.dtype)]).reshape(n, BLOCK)
         least = full.min(axis=1)
         deltas = (full - least[:, None]).astype(np.uint32)
-        need = np.frexp(deltas.astype(np.float64))[1].astype(np.uint8)
-        rank = int(np.ceil(PERCENTILE * BLOCK)) - 1
+        need = _bits_needed(deltas)
         width = np.partition(need, rank, axis=1)[:, rank]
-        count = np.minimum(BLOCK, len(part) - np.arange(n) * BLOCK)
         body: list[bytes] = [b""] * n
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
-            packed = _pack(deltas[rows], int(w))
-            for r, p in zip(rows, packed, strict=True):
-                body[r] = p.tobytes()
+            packed, size = _pack(deltas[rows], int(w)).tobytes(), BLOCK // 8 * int(w)
+            for i, r in enumerate(rows.tolist()):
+                body[r] = packed[i * size:(i + 1) * size]
         over = need > width[:, None]
-        for r in range(n):
-            at_exc = np.flatnonzero(over[r])
-            head = (int(least[r]).to_bytes(4, "little") + int(count[r]).to_bytes(2, "little")
-                    + bytes((int(width[r]), len(at_exc))))
-            out.append(head + body[r] + at_exc.astype(np.uint8).tobytes() + deltas[r, at_exc].astype("<u4").tobytes())
+        exc = over.sum(axis=1)
+        where, values = np.nonzero(over)[1].astype(np.uint8).tobytes(), deltas[over].astype("<u4").tobytes()
+        head = np.zeros(n, [("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("exc", "u1")])
+        head["least"], head["width"], head["exc"] = least, width, exc
+        head["n"] = np.minimum(BLOCK, len(part) - np.arange(n) * BLOCK)
+        heads, ends = head.tobytes(), np.cumsum(exc).tolist()
+        first = 0
+        for r, end in enumerate(ends):
+            out.append(heads[8 * r:8 * r + 8] + body[r] + where[first:end] + values[4 * first:4 * end])
+            first = end
     return out
 
 
@@ -96,7 +112,7 @@ def decode_blocks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     head = data[offsets[:, None] + np.arange(8)]
     least = head[:, :4].copy().view("<u4").ravel()
     count = head[:, 4:6].copy().view("<u2").ravel()
-    width, exc = head[:, 6], head[:, 7]
+    width, exc = head[:, 6].astype(np.int64), head[:, 7].astype(np.int64)
     full = np.zeros((len(offsets), BLOCK), np.uint32)
     for w in np.unique(width):
         same = np.flatnonzero(width == w)
@@ -104,10 +120,11 @@ def decode_blocks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             rows = same[i:i + CHUNK]
             if w:
                 full[rows] = _unpack(data[offsets[rows, None] + 8 + np.arange(BLOCK // 8 * int(w))], int(w))
-    for r in np.flatnonzero(exc):
-        p = int(offsets[r]) + 8 + BLOCK // 8 * int(width[r])
-        k = int(exc[r])
-        full[r, data[p:p + k]] = data[p + k:p + 5 * k].copy().view("<u4")
+    row = np.repeat(np.arange(len(offsets)), exc)  # one entry an exception
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(exc) - exc, exc)
+    start = (offsets + 8 + BLOCK // 8 * width)[row]
+    values = data[(start + exc[row] + 4 * nth)[:, None] + np.arange(4)]
+    full[row, data[start + nth]] = values.copy().view("<u4").ravel()
     full += least[:, None]
     return full[np.arange(BLOCK)[None, :] < count[:, None]]
 
@@ -189,47 +206,40 @@ PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 PLAIN_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^0-9{LETTER}]+")
 
 
-class WordIds(dict):
-    """Little-endian ids of each word between ASCII white space; emptied when full.
+class WordIds(Cache):
+    """Little-endian ids of each word between ASCII white space.
 
     The tokenizer's normalizer and pattern never join characters across ASCII
     white space, and drop it, so a text's ids are its words' ids in order. A
-    word of ASCII characters and Latin-1 letters is split by the
-    tokenizer's pattern here, and its pieces go to the tokenizer's model; any
-    other word, and one that may hold a special token, goes to the tokenizer.
+    word of ASCII characters and Latin-1 letters is split by the tokenizer's
+    pattern here, and its pieces go to the tokenizer's model; any other word,
+    and one that may hold a special token, goes to the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__(self._word)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.pieces = Cache(self._piece)
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            spelled = piece.encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array([t.id for t in self.tok.model.tokenize(spelled)], "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.model.tokenize(spelled)) else b""
+
+    def _word(self, word: bytes) -> bytes:
+        letters = word.rstrip(b".,")
+        if letters.isalpha():  # ASCII letters, and a run of marks
+            ids = self.pieces[letters.lower().decode()]
+            return ids + self.pieces[word[len(letters):].decode()] if len(letters) < len(word) else ids
         text = word.decode("utf-8")
         if PLAIN.fullmatch(text) and "<|" not in text:
-            ids = b"".join([self._piece(p) for p in PLAIN_PIECE.findall(text.lower())])
-        else:
-            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
-        return ids
+            return b"".join(map(self.pieces.__getitem__, PLAIN_PIECE.findall(text.lower())))
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -259,7 +269,8 @@ def _write(path: str, folder: str, end_id: int, file_ids: int):
         for b in batches:
             for doc_id, text in zip(b.column("doc_id"), b.column("text"), strict=True):
                 out = out or FileWriter()
-                out.add(doc_id.as_py(), b"".join(map(words.__getitem__, (text.as_py() or b"").split())) + end)
+                with no_cycle_search():
+                    out.add(doc_id.as_py(), b"".join(map(words.__getitem__, (text.as_py() or b"").split())) + end)
                 if out.ids >= file_ids:
                     yield close(out)
                     seq, out = seq + 1, None
