@@ -99,8 +99,10 @@ def packed_len_filled(c, fill: str = "no review") -> Column:
 
 
 def lenient_double(c) -> Column:
-    """P10: ``to_numeric(errors='coerce')``."""
-    return _num(_c(c).cast("string"))
+    """P10: ``to_numeric(errors='coerce')``: plain decimal, exponent or infinite numbers; NaN is NULL."""
+    s = _c(c).cast("string")
+    number = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\s*$"
+    return F.when(s.rlike(number), _num(F.btrim(F.regexp_replace(s, "(?i)inf(inity)?", "Infinity"))))
 
 
 def category_of(form_factor) -> Column:
@@ -185,7 +187,17 @@ def price_display(c) -> Column:
 
 def rating_display(c) -> Column:
     """P18: 'x / 5' or N/A."""
-    return F.coalesce(F.format_string("%s / 5", _c(c)), F.lit("N/A"))
+    return F.when(_c(c).isNotNull(), F.format_string("%.1f / 5", _c(c).cast("double"))).otherwise("N/A")
+
+
+def ram_display(c) -> Column:
+    """P18: '8 GB' or N/A."""
+    return F.when(_c(c).isNotNull(), F.concat(_c(c).cast("long").cast("string"), F.lit(" GB"))).otherwise("N/A")
+
+
+def battery_display(c) -> Column:
+    """P18: '5000 mAh' or N/A."""
+    return F.when(_c(c).isNotNull(), F.concat(_c(c).cast("long").cast("string"), F.lit(" mAh"))).otherwise("N/A")
 
 
 def rating_bins(c) -> Column:

@@ -40,41 +40,42 @@ def sentiment_counts(reviews: DataFrame) -> DataFrame:
                        F.count_if(_is(NEUTRAL)).alias("neutral"), F.count(F.lit(1)).alias("total"))
 
 
-def _union_products_reviews(products: DataFrame, reviews: DataFrame) -> DataFrame:
-    cols = ["product_id", "category", "manufacturer"]
-    p = products.select(F.lit(True).alias("_is_product"), *cols,
-                        F.lit(None).cast("double").alias("compound"),
-                        F.lit(None).cast("string").alias("sentiment"))
-    r = reviews.select(F.lit(False).alias("_is_product"), *cols, "compound", "sentiment")
-    return p.unionByName(r)
-
-
-def _kpi_aggs() -> list:
-    isp = F.col("_is_product")
-    isr = ~isp
-    n_rev = F.count_if(isr)
-    return [
-        F.count_if(isp).alias("products"),
-        F.count_distinct(F.when(isp, F.col("category"))).alias("categories"),
-        F.count_distinct(F.when(isp, F.col("manufacturer"))).alias("brands"),
-        n_rev.alias("reviews"),
-        F.count_if(isr & _is(POSITIVE)).alias("positive"),
-        F.count_if(isr & _is(NEGATIVE)).alias("negative"),
-        F.count_if(isr & _is(NEUTRAL)).alias("neutral"),
-        C.safe_share(F.count_if(isr & _is(POSITIVE)), n_rev).alias("pos_share"),
-        C.safe_share(F.count_if(isr & _is(NEGATIVE)), n_rev).alias("neg_share"),
-        F.coalesce(C.avg_e4("compound", isr), F.lit(0.0)).alias("avg_compound"),
-    ]
+def _product_aggs() -> list:
+    return [F.count(F.lit(1)).alias("products"), F.count_distinct("category").alias("categories"),
+            F.count_distinct("manufacturer").alias("brands")]
+
+
+def _review_aggs() -> list:
+    n = F.count(F.lit(1))
+    return [n.alias("reviews"), F.count_if(_is(POSITIVE)).alias("positive"), F.count_if(_is(NEGATIVE)).alias("negative"),
+            F.count_if(_is(NEUTRAL)).alias("neutral"), C.safe_share(F.count_if(_is(POSITIVE)), n).alias("pos_share"),
+            C.safe_share(F.count_if(_is(NEGATIVE)), n).alias("neg_share"),
+            F.coalesce(C.avg_e4("compound"), F.lit(0.0)).alias("avg_compound")]
+
+
+_PRODUCT_KPIS = ["products", "categories", "brands"]
+_REVIEW_COUNTS = ["reviews", "positive", "negative", "neutral"]
+_REVIEW_KPIS = ["pos_share", "neg_share", "avg_compound"]
 
 
 def kpis(products: DataFrame, reviews: DataFrame) -> DataFrame:
-    """A2/A3: KPI strip of (filtered) products and reviews, one aggregation."""
-    return _union_products_reviews(products, reviews).agg(*_kpi_aggs())
+    """A2/A3: KPI strip of (filtered) products and reviews: two one-row results side by side."""
+    p = products.agg(*_product_aggs()).withColumn("_one", F.lit(1))
+    r = reviews.agg(*_review_aggs()).withColumn("_one", F.lit(1))
+    return p.join(r, "_one").drop("_one")
 
 
 def group_kpis(products: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
-    """A6 (key=manufacturer) / A7 (key=category): the KPI strip for every group at once."""
-    return _nn(_union_products_reviews(products, reviews), key).groupBy(key).agg(*_kpi_aggs())
+    """A6 (key=manufacturer) / A7 (key=category): the KPI strip for every group at once.
+
+    Products and reviews are aggregated each on their own, so distinct counts
+    run over products only, and the small results are joined.
+    """
+    p = _nn(products, key).groupBy(F.col(key).alias("_key")).agg(*_product_aggs())
+    r = _nn(reviews, key).groupBy(F.col(key).alias("_key")).agg(*_review_aggs())
+    j = p.join(r, "_key", "full")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _PRODUCT_KPIS + _REVIEW_COUNTS]
+    return j.select(F.col("_key").alias(key), *zero, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _REVIEW_KPIS])
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

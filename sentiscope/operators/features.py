@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
@@ -16,100 +16,87 @@ from ..functions.lookups import (
     REGRESSION_TARGETS,
 )
 
-# Largest number of distinct values gathered to the driver by exact selection.
-SELECT_MAX_DISTINCT = 50_000
+# Ranges of one round of exact selection.
 SELECT_BUCKETS = 1024
-HASH_MULT, HASH_MOD = 2654435761, 4294967296
+HASH_MULT, HASH_MOD, ID_MOD = 2654435761, 4294967296, 2147483648
+SPLIT_RANGES = 4096
 # Runs of two or more letters, digits or underscores (Unicode), like \w\w+ in Python.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
 # --- exact quantiles without collecting a column -------------------------
 
-def _kth(df: DataFrame, x: str, k: int) -> float:
-    """k-th smallest (0-based) non-NULL value of ``x``, exact.
+def _stacked(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(c, x): the non-NULL, non-NaN values of every column, by column number."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)])).alias("s")
+    ).select("s.c", "s.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
 
-    Equal-width histogram refinement: each round counts rows per bucket
-    (partial aggregation, at most SELECT_BUCKETS rows to the driver), keeps
-    the bucket holding rank k, and repeats inside it. Once the remaining range
-    has few distinct values, their (value, count) pairs are gathered. A hot
-    value is one group, so skew never grows what is gathered.
-    """
-    sub, offset = df, 0
-    while True:
-        st = sub.agg(F.min(x).alias("lo"), F.max(x).alias("hi"),
-                     F.approx_count_distinct(x).alias("nd")).first()
-        lo, hi, nd = st["lo"], st["hi"], st["nd"]
-        if lo == hi or nd <= SELECT_MAX_DISTINCT:
-            pairs = (sub.groupBy(x).agg(F.count(F.lit(1)).alias("n"))
-                     .orderBy(x).limit(SELECT_MAX_DISTINCT * 2 + 1).collect())
-            if len(pairs) <= SELECT_MAX_DISTINCT * 2:
-                seen = offset
-                for r in pairs:
-                    seen += r["n"]
-                    if seen > k:
-                        return float(r[x])
-                raise ValueError("rank outside the data")
-        width = (hi - lo) / SELECT_BUCKETS
-        b = F.least(F.floor((F.col(x) - F.lit(lo)) / F.lit(width)).cast("int"),
-                    F.lit(SELECT_BUCKETS - 1))
-        counts = sorted((r["b"], r["n"]) for r in sub.groupBy(b.alias("b")).agg(
-            F.count(F.lit(1)).alias("n")).collect())
-        for bucket, n in counts:
-            if offset + n > k:
-                sub = sub.where(b == bucket)
-                break
-            offset += n
 
+def _ranked(stacked: DataFrame, stats: dict[int, tuple[int, float, float]]) -> dict[int, float]:
+    """Per column, the lower middle value. ``stats``: (rows, least, greatest) of each column.
 
-def exact_median(df: DataFrame, col: str | Column) -> float | None:
-    """Exact median (mean of the two middle values), NaN and NULL ignored."""
-    c = F.col(col) if isinstance(col, str) else col
-    d = df.select(c.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    n = d.count()
-    if n == 0:
-        return None
-    a = _kth(d, "_x", (n - 1) // 2)
-    b = a if n % 2 else _kth(d, "_x", n // 2)
-    return a + (b - a) * 0.5
+    All columns are narrowed together. A round counts the rows of at most
+    SELECT_BUCKETS equal ranges of every open column (partial aggregates; a
+    hot value is one row of the result) and goes on inside the range that
+    holds the rank, between its own least and greatest value. The least and
+    the greatest value never share a range, so every round shrinks the
+    search, and it ends when one value is left. Infinite ends are a range of
+    their own.
+    """
+    found: dict[int, float] = {}
+    todo = {c: ((n - 1) // 2, lo, hi) for c, (n, lo, hi) in stats.items()}
+    while todo:
+        found |= {c: lo for c, (_, lo, hi) in todo.items() if lo == hi}
+        todo = {c: t for c, t in todo.items() if t[1] < t[2]}
+        if not todo:
+            break
+        x, b, inside = F.col("x"), F.lit(0), F.lit(False)
+        for c, (_, lo, hi) in todo.items():
+            own = F.col("c") == c
+            if math.isinf(lo) or math.isinf(hi):
+                at = F.when(x == float("-inf"), 0).when(x == float("inf"), 2).otherwise(1)
+            else:  # halves, so that the width of the widest range is finite
+                at = F.floor((x / 2 - lo / 2) / F.lit(hi / 2 - lo / 2) * SELECT_BUCKETS)
+                at = F.when(x >= hi, SELECT_BUCKETS).otherwise(F.least(at, F.lit(SELECT_BUCKETS - 1)))
+            b = F.when(own, at).otherwise(b)
+            inside = inside | (own & x.between(lo, hi))
+        rows = (stacked.where(inside).groupBy("c", b.cast("int").alias("b"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect())
+        for c, (rank, _, _) in list(todo.items()):
+            for r in sorted((r for r in rows if r["c"] == c), key=lambda r: r["b"]):
+                if rank < r["n"]:
+                    todo[c] = (rank, r["lo"], r["hi"])
+                    break
+                rank -= r["n"]
+    return found
 
 
 def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    """A20 for several columns in two passes over one stacked (column, value) table.
-
-    Pass 1: per column count and approximate distinct count. Pass 2: the
-    (column, value, count) histogram of every column with few distinct values
-    (bounded by SELECT_MAX_DISTINCT each), from which both middle ranks are
-    read. Columns with more distinct values fall back to ``exact_median``.
-    """
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")
-    ).select("s.c", "s.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    stats = {r["c"]: (r["n"], r["nd"]) for r in stacked.groupBy("c").agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("x").alias("nd")).collect()}
-    small = [c for c in cols if c in stats and stats[c][1] <= SELECT_MAX_DISTINCT]
-    out: dict[str, float | None] = {c: None for c in cols if c not in stats}
-    if small:
-        hist: dict[str, list] = {c: [] for c in small}
-        for r in (stacked.where(F.col("c").isin(*small)).groupBy("c", "x")
-                  .agg(F.count(F.lit(1)).alias("k")).collect()):
-            hist[r["c"]].append((r["x"], r["k"]))
-        for c in small:
-            n = stats[c][0]
-            ranks = [(n - 1) // 2, n // 2]
-            vals, seen = [], 0
-            for x, k in sorted(hist[c]):
-                while len(vals) < 2 and ranks[len(vals)] < seen + k:
-                    vals.append(x)
-                seen += k
-            a, b = vals
-            out[c] = a + (b - a) * 0.5
-    for c in cols:
-        if c in stats and c not in small:
-            out[c] = exact_median(df, c)
+    """Exact median of each column (mean of the two middle values), NaN and NULL ignored."""
+    stacked = _stacked(df, cols)
+    stats = {r["c"]: (r["n"], r["lo"], r["hi"]) for r in stacked.groupBy("c").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    low = _ranked(stacked, stats)
+    out: dict[str, float | None] = {c: low.get(i) for i, c in enumerate(cols)}
+    even = [i for i in low if stats[i][0] % 2 == 0]
+    if even:  # the upper middle value: the same one, or the next
+        of = F.coalesce(*[F.when(F.col("c") == i, F.lit(low[i])) for i in even])
+        rows = stacked.where(F.col("c").isin(even)).groupBy("c").agg(
+            F.count_if(F.col("x") <= of).alias("n"), F.min(F.when(F.col("x") > of, F.col("x"))).alias("next")).collect()
+        for r in rows:
+            a = low[r["c"]]
+            if r["n"] < stats[r["c"]][0] // 2 + 1:
+                out[cols[r["c"]]] = a / 2 + r["next"] / 2 if math.isinf(r["next"] - a) else a + (r["next"] - a) * 0.5
     return out
 
 
+def exact_median(df: DataFrame, col: str | Column) -> float | None:
+    """A20 for one column."""
+    c = F.col(col) if isinstance(col, str) else col
+    return exact_medians(df.select(c.alias("_x")), ["_x"])["_x"]
+
+
 def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
     """M2: NULL/NaN -> the column's exact median (constants, one per column)."""
     meds = exact_medians(df, cols)
@@ -162,8 +149,7 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def prepare_target(products: DataFrame, col: str) -> tuple[DataFrame, str]:
     """(product_id, y) for one column as target, and the task type."""
     if col in REGRESSION_TARGETS:
-        y = C.parse_num(col) if col != "battery_power_rating" else C.parse_num(col)
-        d = products.select("product_id", y.alias("y")).where(F.col("y").isNotNull())
+        d = products.select("product_id", C.parse_num(col).alias("y")).where(F.col("y").isNotNull())
         return d, "regression"
     if col in RATING_TARGETS:
         v = C.parse_num(col) if col == "rating" else C.parse_rev_rating(col)
@@ -179,8 +165,11 @@ def prepare_target(products: DataFrame, col: str) -> tuple[DataFrame, str]:
 # --- sampling and splits ----------------------------------------------------
 
 def row_hash(id_col: str = "product_id", seed: int = 42) -> Column:
-    """Deterministic arithmetic hash of an integer id (identical in SQL engines)."""
-    return ((F.col(id_col) + seed) * HASH_MULT) % HASH_MOD
+    """Deterministic arithmetic hash of an integer id (identical in SQL engines).
+
+    The id is taken modulo 2^31 first, so the product fits 64 bits for any id.
+    """
+    return ((F.pmod(F.col(id_col).cast("long"), F.lit(ID_MOD)) + seed) * HASH_MULT) % HASH_MOD
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str = "product_id", seed: int = 42) -> DataFrame:
@@ -193,14 +182,34 @@ def split_flag(df: DataFrame, id_col: str = "product_id", test_fraction: float =
                seed: int = 42) -> DataFrame:
     """Deterministic hash split, row-local (no shuffle).
 
-    Each row goes to test when its hash falls under the fraction, independently
-    of its class, so every class is split in the same proportion in
-    expectation (stratified by construction) and a hot class needs no window.
+    Each row goes to test when its hash falls under the fraction, so the share
+    is exact in expectation only; ``split_stratified`` keeps exact class shares.
     """
     cut = int(test_fraction * 1000)
     return df.withColumn("is_test", (row_hash(id_col, seed) % 1000) < cut)
 
 
+def split_stratified(df: DataFrame, label: str, id_col: str = "product_id", seed: int = 42) -> DataFrame:
+    """Of each class, exactly a fifth (rounded half up) goes to test, those with the least hash.
+
+    Rows are counted per class and hash range; only rows of the one range in
+    which a class's quota ends are ranked, so no class is sorted in one task.
+    """
+    h = row_hash(id_col, seed)
+    d = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / (HASH_MOD // SPLIT_RANGES)).cast("int"))
+    counts = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy(label)  # at most SPLIT_RANGES rows a class
+    quota = F.floor((F.sum("_n").over(by) * 2 + 5) / 10)
+    before = F.coalesce(F.sum("_n").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(label).alias("_l"), F.col("_b").alias("_rb"), (quota - before).alias("_left"), "_n")
+    d = d.join(counts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_rb"))).drop("_l", "_rb")
+    split = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
+    whole = d.where(~split).withColumn("is_test", F.col("_left") > 0)
+    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id_col))
+    cut = d.where(split).withColumn("is_test", rank <= F.col("_left"))
+    return whole.unionByName(cut).drop("_h", "_b", "_left", "_n")
+
+
 # --- text features ----------------------------------------------------------
 
 def _terms(df: DataFrame, id_col: str, text_col: str, stops: list[str], ngram: int) -> DataFrame:

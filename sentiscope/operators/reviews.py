@@ -37,11 +37,12 @@ def flatten_reviews(products: DataFrame, truncate: bool = True) -> DataFrame:
     """
     rev = F.split(F.coalesce(F.col("reviews"), F.lit("nan")), C.SEP, -1)
     rat = F.split(F.coalesce(F.col("reviews_rating"), F.lit("nan")), C.SEP, -1)
-    n = F.least(F.size(rev), F.size(rat)) if truncate else F.size(rev)
-    pairs = F.transform(F.slice(rev, 1, n),
-                        lambda t, i: F.struct(t.alias("t"), F.get(rat, i).alias("r")))
-    exploded = products.select("product_id", *REVIEW_ATTRS,
-                               F.posexplode(pairs).alias("review_pos", "pair"))
+    # arrays_zip walks both lists once and pads the shorter one with NULL
+    split = products.select("product_id", *REVIEW_ATTRS, rev.alias("_rev"), rat.alias("_rat"))
+    n = F.least(F.size("_rev"), F.size("_rat")) if truncate else F.size("_rev")
+    pairs = F.arrays_zip(F.slice("_rev", 1, n).alias("t"), F.slice("_rat", 1, n).alias("r"))
+    exploded = split.select("product_id", *REVIEW_ATTRS,
+                            F.posexplode(pairs).alias("review_pos", "pair"))
     text = C.trim_ws(F.col("pair.t"))
     return (exploded
             .select("product_id", F.col("review_pos").cast("int").alias("review_pos"),

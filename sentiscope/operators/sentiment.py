@@ -5,8 +5,9 @@ Plan shape (per call):
 * one projection per text builds the token array and, per token, a struct with
   its 3 preceding and 2 following lower-cased tokens (``transform`` with index),
   so ``explode`` never copies the whole array into each output row;
-* one broadcast inner join against the size-checked vocabulary keeps lexicon
-  hits only; four broadcast left joins add context flags to the hits;
+* one inner join against the vocabulary keeps lexicon hits only; four left joins
+  add context flags to the hits. The planner broadcasts the vocabulary by its own
+  byte threshold;
 * rule arithmetic is plain column expressions (whole-stage codegen);
 * ``groupBy(review key)`` sums per review: tokens of a review sit in one input
   partition, so the partial aggregate collapses them before the shuffle;
@@ -38,19 +39,12 @@ from ..functions.lexicons import (
 PUNCT = r"[!-/:-@\[-`{-~]"
 STRIP_PUNCT = rf"^{PUNCT}+|{PUNCT}+$"
 WS_SPLIT = r"(?U)\s+"
-# Largest resource table (rows) that is broadcast; above it the planner picks a shuffle join.
-MAX_BROADCAST_ROWS = 2_000_000
 # Largest idiom / n-gram table folded into a literal map.
 MAX_LITERAL_ROWS = 10_000
 
 SCORE_COLUMNS = ["compound", "pos_score", "neg_score", "neu_score", "sentiment"]
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count; otherwise leave it to the planner."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def vocabulary(res: SentimentResources) -> DataFrame:
     """term -> (valence, booster, is_neg); one row per lower-cased term."""
     lex = res.lexicon.select(F.lower("term").alias("term"), F.col("valence").cast("double"))
@@ -139,13 +133,13 @@ def _full_hits(texts: DataFrame, keys: list[str], text_col: str,
                 .select(*keys, "cap_diff", "but_pos", "pos", "c.*"))
 
     vocab = vocabulary(res)
-    scoring = bounded_broadcast(
+    scoring = (
         vocab.where(F.col("valence").isNotNull() & F.col("booster").isNull())
         .select(F.col("term").alias("lw"), F.col("valence").alias("v0")))
     hits = (exploded.join(scoring, "lw")
             .where(~((F.col("lw") == "kind") & F.coalesce(F.col("n1") == "of", F.lit(False)))))
     for k in ("p1", "p2", "p3", "n1"):
-        side = bounded_broadcast(vocab.select(
+        side = (vocab.select(
             F.col("term").alias(k), F.col("valence").isNotNull().alias(f"{k}_lex"),
             F.col("booster").alias(f"{k}_boost"), F.col("is_neg").alias(f"{k}_neg")))
         hits = hits.join(side, k, "left")
@@ -296,7 +290,7 @@ def score_basic(df: DataFrame, keys: list[str], text_col: str,
     Valences are summed as integer tenths so sums are exact in any order.
     """
     toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]+"), 0)
-    lex10 = bounded_broadcast(res.lexicon.select(
+    lex10 = (res.lexicon.select(
         F.lower("term").alias("term"), F.round(F.col("valence") * 10).cast("long").alias("v10")))
     hits = df.select(*keys, F.explode(toks).alias("term")).join(lex10, "term")
     agg = hits.groupBy(*keys).agg(

@@ -24,7 +24,7 @@ from ..functions.lexicons import (
 )
 from ..functions.lookups import CATEGORY_ICON, FORM_FACTOR_TO_CATEGORY
 from ..sources.testdata import OTHER_FORM_FACTOR, TYPE_TO_FORM_FACTOR
-from .catalog import KPI_FILTER, SEARCH_PATTERN
+from .catalog import EVENT_TYPES, KPI_FILTER, SCORE_AT, SEARCH_PATTERN, WEEKDAYS
 
 PUNCT = r"[!-/:-@\[-`{-~]"
 D = "::DOUBLE"
@@ -103,9 +103,7 @@ items AS (
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 packed AS (
   SELECT product_id, string_agg(text, '||' ORDER BY doc_id) AS reviews,
-    CASE WHEN product_id % 7 = 0
-      THEN array_to_string(list_slice(list(star ORDER BY doc_id), 1, count(*) - 1), '||')
-      ELSE string_agg(star, '||' ORDER BY doc_id) END AS reviews_rating
+    string_agg(star, '||' ORDER BY doc_id) AS reviews_rating
   FROM items GROUP BY product_id),
 products AS (
   SELECT r.*, pk.reviews, pk.reviews_rating,
@@ -132,6 +130,11 @@ reviews AS (
     FROM flat1)
   WHERE review_text <> '' AND lower(review_text) <> 'nan')"""
 
+# Every 7th product lacks its last star text (for flatten_reviews alone).
+BASE_SHORT = BASE.replace("string_agg(star, '||' ORDER BY doc_id) AS reviews_rating", """CASE WHEN product_id % 7 = 0
+      THEN array_to_string(list_slice(list(star ORDER BY doc_id), 1, count(*) - 1), '||')
+      ELSE string_agg(star, '||' ORDER BY doc_id) END AS reviews_rating""")
+
 LEXICON = _values([(q(k), f"{v}{D}") for k, v in FIXTURE_LEXICON.items()], "term, valence")
 BOOSTERS = _values([(q(k), f"{v}{D}") for k, v in FIXTURE_BOOSTERS.items()], "term, booster")
 NEGATIONS = _values([(q(k),) for k in FIXTURE_NEGATIONS], "term")
@@ -405,7 +408,7 @@ FROM products"""),
 SELECT p.form_factor, p.category, count(*) AS products, coalesce(ic.icon, '⚙️') AS icon
 FROM products p LEFT JOIN {ICONS} ic ON ic.category = p.category
 GROUP BY p.form_factor, p.category, ic.icon"""),
-    "flatten_reviews": with_base("SELECT * FROM reviews"),
+    "flatten_reviews": f"WITH {BASE_SHORT}\nSELECT * FROM reviews",
     "score_basic": "WITH " + BASE + DOCS + basic_scoring("docs", ["review_id"], "review_text", "sb")
                    + "\nSELECT * EXCLUDE (review_text) FROM sb",
     "score_full": "WITH " + BASE + DOCS + full_scoring("docs", ["review_id"], "review_text", "sf")
@@ -488,13 +491,13 @@ WHERE price_clean IS NOT NULL AND rating_clean IS NOT NULL
 # --- features, neighbours, metrics ------------------------------------------
 
 from ..functions.lookups import ENGLISH_STOP_WORDS  # noqa: E402
-from ..operators.features import HASH_MOD, HASH_MULT, TOKEN_PATTERN  # noqa: E402
+from ..operators.features import HASH_MOD, HASH_MULT, ID_MOD, TOKEN_PATTERN  # noqa: E402
 
 STOPS = _values([(q(w),) for w in ENGLISH_STOP_WORDS], "w")
 
 
 def _hash(col: str) -> str:
-    return f"((({col}) + 42) * {HASH_MULT}) % {HASH_MOD}"
+    return f"((((({col}) % {ID_MOD}) + {ID_MOD}) % {ID_MOD} + 42) * {HASH_MULT}) % {HASH_MOD}"
 
 
 def _bins(c: str, edges: list[float]) -> str:
@@ -582,17 +585,20 @@ FROM products"""),
     "sample_rows": f"SELECT vec_id, label FROM embeddings ORDER BY {_hash('vec_id')}, vec_id LIMIT 300",
     "split_stratified": with_base(f"""
 SELECT y, is_test, count(*) AS rows FROM (
-  SELECT CAST({_bins('v', [2, 3, 4, 5.01])} AS DOUBLE) AS y, ({_hash('product_id')}) % 1000 < 200 AS is_test
-  FROM (SELECT product_id, {_parse_num('rating')} AS v FROM products) a WHERE v IS NOT NULL) b
+  SELECT y, row_number() OVER (PARTITION BY y ORDER BY {_hash('product_id')}, product_id)
+            <= (2 * count(*) OVER (PARTITION BY y) + 5) // 10 AS is_test
+  FROM (SELECT product_id, CAST({_bins('v', [2, 3, 4, 5.01])} AS DOUBLE) AS y
+        FROM (SELECT product_id, {_parse_num('rating')} AS v FROM products) a WHERE v IS NOT NULL) c) b
 GROUP BY y, is_test"""),
     "content_knn": f"""
 WITH s AS {_SAMPLE300},
-u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM s),
+u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM u GROUP BY vec_id),
 un AS (SELECT u.vec_id, u.i, CASE WHEN nrm.n > 0 THEN u.x / nrm.n ELSE 0.0 END AS x
        FROM u JOIN nrm ON nrm.vec_id = u.vec_id),
 sim AS (SELECT a.vec_id AS qv, b.vec_id AS cv, round_even(sum(a.x * b.x), 6) AS sim
-        FROM un a JOIN un b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
+        FROM un a JOIN (SELECT * FROM un WHERE vec_id IN (SELECT vec_id FROM s)) b
+        ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
 top AS (SELECT qv, cv FROM (SELECT *, row_number() OVER (PARTITION BY qv ORDER BY sim DESC, cv ASC) AS r
         FROM sim) z WHERE r <= 5),
 votes AS (SELECT t.qv, s.label AS nbr_y, count(*) AS votes FROM top t JOIN s ON s.vec_id = t.cv
@@ -600,7 +606,7 @@ votes AS (SELECT t.qv, s.label AS nbr_y, count(*) AS votes FROM top t JOIN s ON
 pred AS (SELECT qv, nbr_y FROM (SELECT *, row_number() OVER (PARTITION BY qv ORDER BY votes DESC, nbr_y ASC)
          AS rr FROM votes) z WHERE rr = 1)
 SELECT s.vec_id, CAST(s.label AS DOUBLE) AS label, CAST(pred.nbr_y AS DOUBLE) AS prediction
-FROM s JOIN pred ON pred.qv = s.vec_id""",
+FROM embeddings s JOIN pred ON pred.qv = s.vec_id""",
     "weighted_metrics": with_scored(_STAR_VS_LABEL + """,
 conf AS (SELECT label AS l, prediction AS p, count(*) AS n FROM sv GROUP BY label, prediction),
 bl AS (SELECT l, sum(n) AS support, sum(CASE WHEN l = p THEN n END) AS tp, sum(n * (l - p) ^ 2) AS sq
@@ -630,3 +636,53 @@ SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1
   event_type, count(*) AS events, round_even(avg(value), 6) AS mean_value
 FROM events GROUP BY date_trunc('day', ts), event_type""",
 })
+
+
+def _list(items: list[str]) -> str:
+    return "[" + ", ".join(q(x) for x in items) + "]"
+
+
+RESULTS = f"""
+r AS (SELECT event_type AS target, list_position({_list(EVENT_TYPES)}, event_type) AS target_order,
+             ({_list(WEEKDAYS)})[isodow(ts)] AS model, isodow(ts) - 1 AS model_order,
+             count(CASE WHEN value >= {SCORE_AT} THEN 1 END) / count(value) AS score
+      FROM events GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, model_order) AS k FROM r) x
+         WHERE k = 1)"""
+
+ORACLE.update({
+    "model_scoreboard": f"""
+WITH {RESULTS},
+w AS (SELECT model, count(*) AS wins, min(target_order) AS first_win FROM best GROUP BY model),
+top AS (SELECT * FROM best ORDER BY score DESC, target_order LIMIT 1),
+win AS (SELECT * FROM w ORDER BY wins DESC, first_win LIMIT 1)
+SELECT round((SELECT avg(score) FROM best), 9) AS mean_best_score, (SELECT count(*) FROM best) AS targets,
+       top.target AS best_target, top.model AS best_model, round(top.score, 9) AS best_score,
+       win.model AS most_frequent_winner, win.wins AS winner_count FROM top, win""",
+    "best_per_target": f"""
+WITH {RESULTS}, t AS (SELECT unnest({_list(EVENT_TYPES + ["none"])}) AS target)
+SELECT t.target, round(coalesce(score, 0.0), 9) AS score, coalesce(model, 'N/A') AS model
+FROM t LEFT JOIN best USING (target)""",
+    "score_shares": f"""
+WITH {RESULTS},
+f AS (SELECT target, model, CAST(model_order AS INTEGER) AS model_order, score,
+        score - avg(score) OVER t AS deviation, score - coalesce(lag(score) OVER o, 0.0) AS step,
+        coalesce(lag(score) OVER o, 0.0) AS step_base, score / sum(score) OVER t AS share,
+        score / max(score) OVER t AS ratio_to_best,
+        CAST(row_number() OVER (PARTITION BY target ORDER BY score DESC, model_order) AS INTEGER) AS rank
+      FROM r WINDOW t AS (PARTITION BY target), o AS (PARTITION BY target ORDER BY model_order)),
+g AS (SELECT *, coalesce(sum(share) OVER (PARTITION BY target ORDER BY model_order
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS share_offset,
+             greatest(1, CAST(round_even(share * 100, 0) AS INTEGER)) AS p FROM f),
+h AS (SELECT *, sum(CASE WHEN rank <> 1 THEN p ELSE 0 END) OVER (PARTITION BY target) AS others FROM g)
+SELECT target, model, model_order, rank, round(score, 9) AS score, round(deviation, 9) AS deviation, round(step, 9) AS step,
+       round(step_base, 9) AS step_base, round(share, 9) AS share, round(ratio_to_best, 9) AS ratio_to_best,
+       round(share_offset, 9) AS share_offset,
+       CAST(CASE WHEN rank = 1 THEN greatest(0, 100 - others) ELSE p END AS BIGINT) AS pct FROM h""",
+    "score_matrix": f"""
+WITH {RESULTS},
+f AS (SELECT model, min(target_order * 100 + model_order) AS seen,
+        {", ".join(f"round(max(CASE WHEN target = {q(t)} THEN score * 100 END), 9) AS {t}" for t in EVENT_TYPES)}
+      FROM r GROUP BY model)
+SELECT * EXCLUDE (seen), CAST(row_number() OVER (ORDER BY seen, model) AS INTEGER) AS first_seen FROM f""",
+})

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def packed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_reviews(spark: SparkSession, sf_dir: str, short_lists: bool = False) -> DataFrame:
     """(product_id, reviews, reviews_rating): five documents per product, packed.
 
     Groups hold at most five documents by construction (doc_id / 5), so the
@@ -49,15 +49,15 @@ def packed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = items.groupBy("product_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     texts = F.transform("items", lambda x: x["text"])
     stars = F.transform("items", lambda x: x["star"])
-    # every 7th product loses its last star text (exercises the list-zip truncation)
-    stars = F.when(F.col("product_id") % 7 == 0,
-                   F.slice(stars, 1, F.size(stars) - 1)).otherwise(stars)
+    if short_lists:  # every 7th product lacks its last star text (exercises the list-zip truncation)
+        stars = F.when(F.col("product_id") % 7 == 0,
+                       F.slice(stars, 1, F.size(stars) - 1)).otherwise(stars)
     return grouped.select("product_id",
                           F.concat_ws("||", texts).alias("reviews"),
                           F.concat_ws("||", stars).alias("reviews_rating"))
 
 
-def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_products(spark: SparkSession, sf_dir: str, short_lists: bool = False) -> DataFrame:
     """Raw product rows (all strings except the row id) from ``part`` + packed reviews."""
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
@@ -89,7 +89,7 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(s(size * 10), F.lit(" g")).alias("weight"),
         s(size * 100).alias("battery_power_rating"),
     )
-    return prod.join(packed_reviews(spark, sf_dir), "product_id", "left")
+    return prod.join(packed_reviews(spark, sf_dir, short_lists), "product_id", "left")
 
 
 def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

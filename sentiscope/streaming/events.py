@@ -32,15 +32,16 @@ def windowed_event_stream(spark: SparkSession, path: str, schema: StructType,
 def score_review_stream(spark: SparkSession, path: str, schema: StructType,
                         res: SentimentResources, out_path: str, checkpoint: str,
                         keys: list[str], text_col: str = "review_text"):
-    """Score each arriving micro-batch of review files and append to ``out_path``.
+    """Score each arriving micro-batch of review files, into ``out_path``/epoch=<id>.
 
     ``foreachBatch`` runs the batch scorer (joins + aggregation) per
-    micro-batch; the checkpoint folder makes the sink restartable.
+    micro-batch and overwrites the folder of its epoch: a batch that a restart
+    runs again replaces its own rows instead of adding them twice.
     """
     stream = spark.readStream.schema(schema).parquet(path)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        score_full(batch, keys, text_col, res).write.mode("append").parquet(out_path)
+        score_full(batch, keys, text_col, res).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
     return (stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

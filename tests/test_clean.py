@@ -47,3 +47,14 @@ def test_half_even(spark):
     df = spark.createDataFrame([(1, 8), (49, 400), (3, 0)], "a long, b long")
     got = [r["p"] for r in df.select(C.pct1("a", "b").alias("p")).collect()]
     assert got == [12.5, 12.2, None]
+
+
+def test_lenient_double_and_displays(spark):
+    rows = [("1.5", 4.26, 8.0, 5000.0), ("1d", None, None, None), ("NaN", 4.0, 4.0, 1.0), (" -2e3 ", 5.0, 1.0, 2.0), ("-inf", 1.0, 1.0, 1.0),
+            ("", 1.0, 1.0, 1.0), (None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "s string, r double, ram double, bat double")
+    got = df.select(C.lenient_double("s").alias("x"), C.rating_display("r").alias("r"), C.ram_display("ram").alias("ram"),
+                    C.battery_display("bat").alias("bat")).collect()
+    assert [g["x"] for g in got] == [1.5, None, None, -2000.0, float("-inf"), None, None]
+    assert [g["r"] for g in got[:3]] == ["4.3 / 5", "N/A", "4.0 / 5"]
+    assert (got[0]["ram"], got[0]["bat"], got[1]["ram"], got[1]["bat"]) == ("8 GB", "5000 mAh", "N/A", "N/A")

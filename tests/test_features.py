@@ -14,8 +14,7 @@ def test_exact_median_interpolates(spark):
     assert FE.exact_median(df, "x") == 2.5
 
 
-def test_exact_median_refines_buckets(spark, monkeypatch):
-    monkeypatch.setattr(FE, "SELECT_MAX_DISTINCT", 10)
+def test_exact_median_refines_buckets(spark):
     vals = [float(v) for v in np.random.default_rng(1).normal(size=501)] + [7.0] * 200
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     assert FE.exact_median(df, "x") == pytest.approx(float(np.median(vals)))
@@ -44,18 +43,21 @@ def test_knn_matches_brute_force(spark):
 
 
 def test_scoreboard_windows(spark):
-    rows = [("a", "m1", 0, 0.5), ("a", "m2", 1, 0.7), ("a", "m3", 2, 0.7),
-            ("b", "m1", 0, 0.9), ("b", "m2", 1, 0.1)]
-    r = spark.createDataFrame(rows, "target string, model string, model_order int, score double")
+    rows = [("a", 0, "m1", 0, 0.5), ("a", 0, "m2", 1, 0.7), ("a", 0, "m3", 2, 0.7),
+            ("b", 1, "m1", 0, 0.9), ("b", 1, "m2", 1, 0.1), ("c", 2, "m9", 0, 0.9), ("c", 2, "m1", 1, None)]
+    r = spark.createDataFrame(rows, "target string, target_order int, model string, model_order int, score double")
     best = {x["target"]: x["model"] for x in SB.best_per_target(r).collect()}
-    assert best == {"a": "m2", "b": "m1"}
+    assert best == {"a": "m2", "b": "m1", "c": "m9"}
     f = {(x["target"], x["model"]): x for x in SB.score_features(r).collect()}
     assert f[("a", "m2")]["step"] == pytest.approx(0.2)
     assert f[("a", "m1")]["share_offset"] == 0.0
     assert sum(f[("a", m)]["pct"] for m in ("m1", "m2", "m3")) == 100
     sb = SB.scoreboard(r).first()
-    assert sb["mean_best_score"] == pytest.approx(0.8)
-    assert sb["best_target"] == "b" and sb["most_frequent_winner"] == "m1"
+    assert sb["mean_best_score"] == pytest.approx(2.5 / 3)
+    # ties: the first target's winner, and the first target with the best score
+    assert sb["best_target"] == "b" and sb["most_frequent_winner"] == "m2" and sb["winner_count"] == 1
+    seen = {x["model"]: x["first_seen"] for x in SB.score_matrix(r, ["a", "b", "c"]).collect()}
+    assert seen == {"m1": 1, "m2": 2, "m3": 3, "m9": 4}
 
 
 def test_split_is_row_local(spark):
@@ -65,12 +67,58 @@ def test_split_is_row_local(spark):
     assert 0.15 < frac < 0.25
 
 
-def test_batched_medians_match_single(spark, monkeypatch):
+def test_medians_match_numpy(spark):
     rng = np.random.default_rng(5)
-    rows = [(float(a), float(b) if i % 3 else None) for i, (a, b) in
-            enumerate(zip(rng.integers(0, 20, 301), rng.normal(size=301)))]
-    df = spark.createDataFrame(rows, "a double, b double")
-    monkeypatch.setattr(FE, "SELECT_MAX_DISTINCT", 50)
-    got = FE.exact_medians(df, ["a", "b"])
-    assert got["a"] == FE.exact_median(df, "a") == float(np.median([r[0] for r in rows]))
-    assert got["b"] == pytest.approx(float(np.median([r[1] for r in rows if r[1] is not None])))
+    rows = [(float(a), float(b) if i % 3 else None, float(c), None) for i, (a, b, c) in
+            enumerate(zip(rng.integers(0, 20, 302), rng.normal(size=302), rng.normal(size=302) * 1e300))]
+    rows += [(float("nan"), 1.0, float("inf"), None), (3.0, 2.0, float("-inf"), float("nan"))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = FE.exact_medians(df, ["a", "b", "c", "d"])
+    for i, c in enumerate("abc"):
+        own = [r[i] for r in rows if r[i] is not None and not np.isnan(r[i])]
+        assert got[c] == pytest.approx(float(np.median(own))), c
+    assert got["d"] is None
+
+
+def test_median_ends_at_infinity_and_extremes(spark):
+    inf = float("inf")
+    for xs in ([1.0, inf, inf], [-inf, -inf, 2.0, 3.0, 4.0], [-1.7e308, 1.7e308, 5e-324], [float(i) for i in range(40)] + [inf]):
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        assert FE.exact_median(df, "x") == float(np.median(xs))
+
+
+def test_median_of_a_million_distinct_values(spark):
+    df = spark.range(1_200_001).selectExpr("double(id) * double(id) as x")
+    assert FE.exact_median(df, "x") == 600_000.0 ** 2
+
+
+def test_hash_takes_any_id(spark):
+    df = spark.createDataFrame([(4_000_000_000,), (-5,), (2 ** 62,), (7,)], "product_id long")
+    got = [r["h"] for r in df.select(FE.row_hash().alias("h")).collect()]
+    assert all(0 <= h < FE.HASH_MOD for h in got) and len(set(got)) == 4
+
+
+def test_stratified_split_is_exact(spark):
+    rng = np.random.default_rng(3)
+    y = np.concatenate([np.zeros(5000), np.ones(7), np.full(1, 2), np.full(333, 3)])
+    rng.shuffle(y)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)] + [(9_000_000_000, None)], "product_id long, y double")
+    s = FE.split_stratified(df, "y").toPandas()
+    assert len(s) == len(y) + 1
+    for v in (0, 1, 2, 3):
+        own = s[s.y == v]
+        assert own.is_test.sum() == (2 * len(own) + 5) // 10
+    h = {r["product_id"]: r["h"] for r in df.select("product_id", FE.row_hash().alias("h")).collect()}
+    big = s[s.y == 0]
+    assert max(h[i] for i in big[big.is_test].product_id) <= min(h[i] for i in big[~big.is_test].product_id)
+
+
+def test_singular_vectors_match_numpy(spark):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(60, 5)) * np.array([9, 5, 3, 2, 1])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, v array<double>").repartition(4)
+    got = NB.right_singular_vectors(df, "v", 3)
+    want = np.linalg.svd(m)[2][:3].T
+    assert np.allclose(np.abs((got * want).sum(axis=0)), 1)
+    low = {r["id"]: r["v"] for r in NB.truncated_svd(df, "id", "v", 3).collect()}
+    assert np.allclose([low[i] for i in range(60)], m @ got)

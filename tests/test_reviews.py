@@ -43,3 +43,21 @@ def test_filters_match_semi_join(spark):
     d2, r2 = apply_filters(p, r, spec, semi_join=True)
     key = lambda df: sorted((x["product_id"], x["review_pos"]) for x in df.collect())
     assert key(r1) == key(r2) == [(1, 0), (1, 1), (3, 0)]
+
+
+def test_flatten_time_grows_with_the_reviews(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "||".join(["some review text here"] * n), "||".join(["4.0 out of 5 stars"] * n))],
+                                   "product_id long, reviews string, reviews_rating string")
+        for c in ("title", "manufacturer", "category", "os", "colour"):
+            df = df.selectExpr("*", f"'x' as {c}")
+        df = df.selectExpr("*", "1.0D as price_clean", "1.0D as rating_clean", "1.0D as ram_gb")
+        t = time.perf_counter()
+        assert flatten_reviews(df).count() == n
+        return time.perf_counter() - t
+
+    took(1000)
+    small, large = min(took(2000) for _ in range(2)), min(took(16_000) for _ in range(2))
+    assert large < 16 * small + 1
