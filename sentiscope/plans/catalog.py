@@ -221,6 +221,7 @@ from ..operators import features as FE  # noqa: E402
 from ..operators import neighbors as NB  # noqa: E402
 from ..operators import scoreboard as SB  # noqa: E402
 from ..operators.evaluate import classification_metrics, regression_metrics  # noqa: E402
+from ..operators.models import ridge_predictions  # noqa: E402
 from ..streaming.events import daily_event_windows  # noqa: E402
 
 NUMERIC_COLS = ["_price", "_rating", "_revn", "_weight", "_batt", "_ravg", "_rcnt"]
@@ -325,6 +326,11 @@ def q_feature_matrix(spark, sf_dir):
         "product_id", "features")
 
 
+def q_ridge_price(spark, sf_dir):
+    """Price of the test products predicted by ridge regression."""
+    return ridge_predictions(products(spark, sf_dir), "price").withColumn("prediction", F.bround("prediction", 4))
+
+
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SCORE_AT = 35
@@ -387,6 +393,7 @@ QUERIES.update({
     "regression_metrics": q_regression_metrics,
     "feature_matrix": q_feature_matrix,
     "event_windows": q_event_windows,
+    "ridge_price": q_ridge_price,
     "model_scoreboard": q_model_scoreboard,
     "best_per_target": q_best_per_target,
     "score_shares": q_score_shares,
