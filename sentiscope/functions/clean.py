@@ -186,8 +186,8 @@ def price_display(c) -> Column:
 
 
 def rating_display(c) -> Column:
-    """P18: 'x / 5' or N/A."""
-    return F.when(_c(c).isNotNull(), F.format_string("%.1f / 5", _c(c).cast("double"))).otherwise("N/A")
+    """P18: 'x.y / 5' (one decimal, ties to even) or N/A."""
+    return F.when(_c(c).isNotNull(), F.format_string("%.1f / 5", F.bround(_c(c).cast("double"), 1))).otherwise("N/A")
 
 
 def ram_display(c) -> Column:

@@ -78,6 +78,18 @@ def group_kpis(products: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     return j.select(F.col("_key").alias(key), *zero, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _REVIEW_KPIS])
 
 
+def product_cards(products: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Each product's display values, the number of its reviews and their mean stars."""
+    card = products.select(
+        "product_id", "title", "category", C.price_display("price_clean").alias("price"),
+        C.rating_display("rating_clean").alias("rating"), C.ram_display("ram_gb").alias("ram"),
+        C.battery_display(C.lenient_double("battery_power_rating")).alias("battery"))
+    own = reviews.groupBy("product_id").agg(F.count(F.lit(1)).alias("reviews"),
+                                            C.rating_display(F.avg("star_rating")).alias("stars"))
+    return card.join(own, "product_id", "left").withColumns(
+        {"reviews": F.coalesce("reviews", F.lit(0)).cast("long"), "stars": F.coalesce("stars", F.lit("N/A"))})
+
+
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
     """A4: sorted distinct non-NULL values."""
     return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)

@@ -326,6 +326,12 @@ def q_feature_matrix(spark, sf_dir):
         "product_id", "features")
 
 
+def q_product_detail(spark, sf_dir):
+    """Every product's card: display values, number of reviews, mean stars."""
+    p = products(spark, sf_dir)
+    return A.product_cards(p, flatten_reviews(p))
+
+
 def q_ridge_price(spark, sf_dir):
     """Price of the test products predicted by ridge regression."""
     return ridge_predictions(products(spark, sf_dir), "price").withColumn("prediction", F.bround("prediction", 4))
@@ -393,6 +399,7 @@ QUERIES.update({
     "regression_metrics": q_regression_metrics,
     "feature_matrix": q_feature_matrix,
     "event_windows": q_event_windows,
+    "product_detail": q_product_detail,
     "ridge_price": q_ridge_price,
     "model_scoreboard": q_model_scoreboard,
     "best_per_target": q_best_per_target,

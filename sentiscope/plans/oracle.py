@@ -651,6 +651,15 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER B
          WHERE k = 1)"""
 
 ORACLE.update({
+    "product_detail": with_base("""
+SELECT p.product_id, p.title, p.category,
+  coalesce('₹' || format('{:,}', CAST(trunc(price_clean) AS BIGINT)), 'N/A') AS price,
+  coalesce(printf('%.1f / 5', rating_clean), 'N/A') AS rating,
+  coalesce(CAST(CAST(trunc(ram_gb) AS BIGINT) AS VARCHAR) || ' GB', 'N/A') AS ram,
+  coalesce(CAST(CAST(trunc(TRY_CAST(battery_power_rating AS DOUBLE)) AS BIGINT) AS VARCHAR) || ' mAh', 'N/A') AS battery,
+  coalesce(r.n, 0) AS reviews, coalesce(printf('%.1f / 5', r.stars), 'N/A') AS stars
+FROM products p LEFT JOIN (SELECT product_id, count(*) AS n, avg(star_rating) AS stars FROM reviews GROUP BY product_id) r
+  USING (product_id)"""),
     "model_scoreboard": f"""
 WITH {RESULTS},
 w AS (SELECT model, count(*) AS wins, min(target_order) AS first_win FROM best GROUP BY model),
