@@ -213,6 +213,7 @@ def split_stratified(df: DataFrame, label: str, id_col: str = "product_id", seed
 # --- text features ----------------------------------------------------------
 
 def _terms(df: DataFrame, id_col: str, text_col: str, stops: list[str], ngram: int) -> DataFrame:
+    """(id, _t): the terms of each text, in order, words before pairs."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
     toks = F.filter(toks, lambda t: ~t.isin(*stops)) if stops else toks
     d = df.select(id_col, toks.alias("_t"))
@@ -222,7 +223,7 @@ def _terms(df: DataFrame, id_col: str, text_col: str, stops: list[str], ngram: i
         pairs = F.zip_with(F.col("_t"), nxt, lambda a, b: F.concat_ws(" ", a, b))
         bigrams = F.slice(pairs, 1, F.greatest(n - 1, F.lit(0)))
         d = d.select(id_col, F.concat("_t", bigrams).alias("_t"))
-    return d.select(id_col, F.explode("_t").alias("term"))
+    return d
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int,
@@ -230,17 +231,18 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int,
     """M4/M5: (id, term, weight) TF-IDF over the top ``max_features`` terms.
 
     idf = ln((1 + n) / (1 + df)) + 1 (smoothed, +1), rows L2-normalised.
-    Counts are aggregated per (doc, term) and per term with partial
-    aggregation; the vocabulary has at most ``max_features`` rows, so it
-    broadcasts.
+    Corpus counts are partial aggregates by term, so the long tail of terms
+    meets no (id, term) shuffle; only occurrences of the ``max_features`` terms
+    (a parameter, hence their broadcasts) are grouped by row.
     """
     stops = ENGLISH_STOP_WORDS if stops is None else stops
     n_docs = df.count()
-    terms = _terms(df, id_col, text_col, stops, ngram)
-    tf = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocab = (tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-             .orderBy(F.desc("cf"), F.asc("term")).limit(max_features))
-    idf = vocab.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    lists = _terms(df, id_col, text_col, stops, ngram)
+    top = (lists.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+           .orderBy(F.desc("cf"), F.asc("term")).limit(max_features).select("term"))
+    kept = lists.select(id_col, F.explode("_t").alias("term")).join(F.broadcast(top), "term")
+    tf = kept.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    idf = tf.groupBy("term").agg((F.log((1.0 + n_docs) / (1.0 + F.count(F.lit(1)))) + 1.0).alias("idf"))
     w = tf.join(F.broadcast(idf), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
