@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sentiscope.functions.lexicons import fixture_resources
 from sentiscope.sources.csv import read_product_csv, with_product_id
-from sentiscope.streaming.events import score_review_stream, daily_event_windows
+from sentiscope.streaming.events import daily_event_windows, score_review_stream, windowed_event_stream
 
 
 def test_csv_quotes_newlines_and_na(spark):
@@ -33,6 +33,41 @@ def test_stream_scores_arriving_files(spark):
     assert got == {1: "Positive", 2: "Negative"}
 
 
+def test_a_batch_that_runs_again_adds_no_rows(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    spark.createDataFrame([(1, "this is with it"), (2, "was from by")],
+                          "review_id long, review_text string").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    for _ in range(2):
+        score_review_stream(spark, src, schema, fixture_resources(spark), out, ck, ["review_id"]).awaitTermination(120)
+        for name in os.listdir(os.path.join(ck, "commits")):  # as if it had stopped before the commit
+            if name.startswith((".0", "0")):
+                os.remove(os.path.join(ck, "commits", name))
+    assert sorted(r["review_id"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
+    src = str(tmp_path / "events")
+
+    def add(*rows):
+        df = spark.createDataFrame(list(rows), "ts string, event_type string, value double")
+        df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+
+    add(("2024-01-01 10:00:00", "a", 1.0), ("2024-01-03 10:00:00", "a", 5.0))
+    out = windowed_event_stream(spark, src, spark.read.parquet(src).schema)
+    q = out.writeStream.outputMode("append").format("memory").queryName("late_events").start()
+    try:
+        q.processAllAvailable()
+        add(("2024-01-01 12:00:00", "a", 100.0), ("2024-01-05 10:00:00", "a", 7.0))  # the first is late
+        q.processAllAvailable()
+        add(("2024-01-09 10:00:00", "a", 9.0))
+        q.processAllAvailable()
+        got = {str(r["window_start"])[:10]: (r["events"], r["mean_value"]) for r in spark.table("late_events").collect()}
+    finally:
+        q.stop()
+    assert got["2024-01-01"] == (1, 1.0) and got["2024-01-03"] == (1, 5.0) and got["2024-01-05"] == (1, 7.0)
+
+
 def test_event_windows_daily(spark):
     ev = spark.createDataFrame([("2024-01-01 01:00:00", "a", 1.0), ("2024-01-01 23:00:00", "a", 3.0),
                                 ("2024-01-02 00:00:00", "a", 5.0)], "ts string, event_type string, value double")
