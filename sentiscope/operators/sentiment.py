@@ -18,8 +18,6 @@ No window, no Python UDF, no token-level shuffle.
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +37,6 @@ from ..functions.lexicons import (
 PUNCT = r"[!-/:-@\[-`{-~]"
 STRIP_PUNCT = rf"^{PUNCT}+|{PUNCT}+$"
 WS_SPLIT = r"(?U)\s+"
-# Largest idiom / n-gram table folded into a literal map.
-MAX_LITERAL_ROWS = 10_000
 
 SCORE_COLUMNS = ["compound", "pos_score", "neg_score", "neu_score", "sentiment"]
 
@@ -97,14 +93,17 @@ def _negated(word: Column, is_neg: Column) -> Column:
     return F.coalesce(is_neg, F.lit(False)) | F.coalesce(word.contains("n't"), F.lit(False))
 
 
-def _literal_map(df: DataFrame, key: str, value: str) -> Column | None:
-    rows = df.limit(MAX_LITERAL_ROWS + 1).collect()
-    if not rows:
+def _phrases(df: DataFrame, key: str, value: str) -> DataFrame | None:
+    """(_phrase, _value) of a phrase table, one row a lower-cased phrase; None where it is empty."""
+    if df.isEmpty():
         return None
-    if len(rows) > MAX_LITERAL_ROWS:
-        raise ValueError(f"phrase table above {MAX_LITERAL_ROWS} rows; pass it as a join input")
-    pairs = [(r[key].lower(), float(r[value])) for r in rows]
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])
+    return df.groupBy(F.lower(key).alias("_phrase")).agg(F.max(F.col(value).cast("double")).alias("_value"))
+
+
+def _look_up(hits: DataFrame, phrases: DataFrame, parts: tuple[str, ...], out: str) -> DataFrame:
+    """Add the value of the phrase that the columns ``parts`` make, NULL where there is none."""
+    seq = F.concat_ws(" ", *[F.col(p) for p in parts])
+    return hits.join(phrases.withColumnRenamed("_value", out), seq == F.col("_phrase"), "left").drop("_phrase")
 
 
 def _full_hits(texts: DataFrame, keys: list[str], text_col: str,
@@ -164,8 +163,8 @@ def _full_hits(texts: DataFrame, keys: list[str], text_col: str,
     hits = hits.withColumn("_v", F.when(col("up") & cap, F.when(v > 0, v + C_INCR).otherwise(v - C_INCR))
                            .otherwise(v))
 
-    idioms = _literal_map(res.idioms, "phrase", "valence")
-    ngram_boosters = _literal_map(res.boosters.where(F.col("term").contains(" ")), "term", "scalar")
+    idioms = _phrases(res.idioms, "phrase", "valence")
+    ngram_boosters = _phrases(res.boosters.where(F.col("term").contains(" ")), "term", "scalar")
 
     # V4 boosters + V5 negation at distances 1, 2, 3 (booster first, then negation)
     for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
@@ -203,29 +202,26 @@ def _full_hits(texts: DataFrame, keys: list[str], text_col: str,
     return hits.select(*keys, (v * mult).alias("s"))
 
 
-def _idioms(hits: DataFrame, idioms: Column | None, ngram_boosters: Column | None) -> DataFrame:
-    """Phrase rules at distance 3: an idiom around the word replaces its valence."""
+def _idioms(hits: DataFrame, idioms: DataFrame | None, ngram_boosters: DataFrame | None) -> DataFrame:
+    """Phrase rules at distance 3: an idiom around the word replaces its valence. Phrases are joined,
+    so their tables may have any size."""
     col = F.col
     w = col("_w")
     if idioms is not None:
-        def seq(*parts):
-            return F.concat_ws(" ", *[col(p) for p in parts])
-        # the first of the five preceding sequences that is an idiom wins
-        found = F.coalesce(*[F.element_at(idioms, p) for p in (
-            seq("p1", "lw"), seq("p2", "p1", "lw"), seq("p2", "p1"),
-            seq("p3", "p2", "p1"), seq("p3", "p2"))])
-        hits = hits.withColumn("_w", F.coalesce(found, w))
-        hits = hits.withColumn("_w", F.when(col("n1").isNotNull(),
-                                            F.coalesce(F.element_at(idioms, seq("lw", "n1")), w))
-                               .otherwise(w))
-        hits = hits.withColumn("_w", F.when(col("n2").isNotNull(),
-                                            F.coalesce(F.element_at(idioms, seq("lw", "n1", "n2")), w))
-                               .otherwise(w))
+        # the first of the five sequences up to the word that is an idiom wins, then those after it
+        before = (("p1", "lw"), ("p2", "p1", "lw"), ("p2", "p1"), ("p3", "p2", "p1"), ("p3", "p2"))
+        after = (("lw", "n1"), ("lw", "n1", "n2"))
+        for i, parts in enumerate(before + after):
+            hits = _look_up(hits, idioms, parts, f"_i{i}")
+        hits = hits.withColumn("_w", F.coalesce(*[col(f"_i{i}") for i in range(5)], w))
+        hits = hits.withColumn("_w", F.when(col("n1").isNotNull(), F.coalesce(col("_i5"), w)).otherwise(w))
+        hits = hits.withColumn("_w", F.when(col("n2").isNotNull(), F.coalesce(col("_i6"), w)).otherwise(w))
+        hits = hits.drop(*[f"_i{i}" for i in range(7)])
     if ngram_boosters is not None:
-        add = sum(F.coalesce(F.element_at(ngram_boosters, F.concat_ws(" ", *[col(p) for p in parts])),
-                             F.lit(0.0))
-                  for parts in (("p3", "p2", "p1"), ("p3", "p2"), ("p2", "p1")))
-        hits = hits.withColumn("_w", w + add)
+        for i, parts in enumerate((("p3", "p2", "p1"), ("p3", "p2"), ("p2", "p1"))):
+            hits = _look_up(hits, ngram_boosters, parts, f"_b{i}")
+        add = sum(F.coalesce(col(f"_b{i}"), F.lit(0.0)) for i in range(3))
+        hits = hits.withColumn("_w", w + add).drop("_b0", "_b1", "_b2")
     return hits
 
 

@@ -58,3 +58,14 @@ def test_compound_bounded_and_labels_partition(spark):
 
 def test_basic_sums_tenths(spark):
     assert scores(spark, ["good bad great"], score_basic)[0] == norm(3.0)
+
+
+def test_idioms_and_phrase_boosters(spark):
+    """Values worked out by hand from the phrase rules."""
+    r = _tables(spark, {"death": -2.9, "good": 1.9, "hit": 0.5}, {"very": 0.293, "sort of": -0.293}, ["not"],
+                {"kiss of death": -1.5, "hit the mark": 2.0}, "but")
+    texts = ["the kiss of death here", "a slow sad death here", "it sort of good now", "then we now hit the mark there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [x["compound"] for x in score_full(df, ["id"], "text", r).orderBy("id").collect()]
+    want = [v / math.sqrt(v * v + 15) for v in (-1.5, -2.9, 1.9 - 0.293, 2.0)]
+    assert got == [pytest.approx(w, abs=6e-5) for w in want]
