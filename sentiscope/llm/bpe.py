@@ -26,32 +26,29 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 1 << 19
-LONGEST_CACHED = 64
+from .common import Cache, no_cycle_search
+
+CACHE = 1 << 18  # entries of each of the two caches, about 150 bytes each
 FRAGMENT = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 PLAIN = re.compile(f"[\t-\r -~{LETTER}]*")
+PRINTABLE = re.compile("[!-~]+")  # these stand for themselves in the byte alphabet
 PLAIN_PIECE = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\t-\r 0-9{LETTER}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
-def _keep(cache: dict, text: str, ids: tuple[int, ...]) -> None:
-    if len(text) <= LONGEST_CACHED:
-        if len(cache) >= CACHE:
-            cache.clear()
-        cache[text] = ids
-
-
 def byte_alphabet() -> dict[str, int]:
     """Character -> byte of the byte-level alphabet: printable bytes stand for themselves,
     the others take the code points from 256 on, in order."""
@@ -84,16 +81,25 @@ class ForcedBoundaryBPE:
         names = sorted(self._special, key=len, reverse=True)
         self._split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self._alphabet = {b: c for c, b in of.items()}
-        self._cache: dict[str, tuple[int, ...]] = {}
-        self._merged: dict[str, tuple[int, ...]] = {}
+        self._blank = self._alphabet[0x20]
+        self._merged = Cache(self._merge, CACHE)
+        self._fragments = Cache(self._new, CACHE)
 
     def _pieces(self, fragment: str) -> list[str]:
         """The pre-tokenizer's pieces in the byte alphabet."""
+        if fragment.isascii():
+            word = fragment[1:] if fragment[0] == " " else fragment
+            letters = word.rstrip(".,")
+            if letters.isalpha():  # a word, its blank and a run of marks
+                first = self._blank + letters if fragment[0] == " " else letters
+                return [first, word[len(letters):]] if len(letters) < len(word) else [first]
         if PLAIN.fullmatch(fragment):  # its pattern, for ASCII and Latin-1 letters
+            if PRINTABLE.fullmatch(fragment):
+                return PLAIN_PIECE.findall(fragment)
             return [p.encode().decode("latin-1").translate(self._alphabet) for p in PLAIN_PIECE.findall(fragment)]
         return [p for p, _ in self._pre.pre_tokenize_str(fragment)]
 
-    def _merge(self, piece: str) -> tuple[int, ...]:
+    def _merge(self, piece: str) -> bytes:
         """Cut a piece at the byte pairs that no token holds; merge each part on its own."""
         out: list[int] = []
         start = 0
@@ -101,41 +107,31 @@ class ForcedBoundaryBPE:
             if piece[i - 1:i + 1] not in self._inside:
                 out += [t.id for t in self._model.tokenize(piece[start:i])]
                 start = i
-        return (*out, *[t.id for t in self._model.tokenize(piece[start:])])
+        out += [t.id for t in self._model.tokenize(piece[start:])]
+        return struct.pack(f"={len(out)}i", *out)
 
-    def _new(self, fragment: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for piece in self._pieces(fragment):
-            ids = self._merged.get(piece) or self._merge(piece)
-            _keep(self._merged, piece, ids)
-            out += ids
-        return tuple(out)
-
-    def _ids(self, fragment: str) -> tuple[int, ...]:
-        ids = self._cache.get(fragment)
-        if ids is None:
-            ids = self._new(fragment)
-            _keep(self._cache, fragment, ids)
-        return ids
-
-    def _plain(self, text: str) -> list[int]:
+    def _new(self, fragment: str) -> bytes:
+        return b"".join(map(self._merged.__getitem__, self._pieces(fragment)))
+
+    def _plain(self, text: str) -> bytes:
         if OTHER_SPACE.search(text):
-            return list(self._new(text))
-        out: list[int] = []
-        known, new = self._cache.get, self._ids
-        for fragment in FRAGMENT.findall(text):
-            out += known(fragment) or new(fragment)
-        return out
+            return self._new(text)
+        return b"".join(map(self._fragments.__getitem__, FRAGMENT.findall(text)))
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text, 32-bit integers."""
         if not text:
-            return []
+            return np.empty(0, np.int32)
         if self._split is None or not any(s in text for s in self._special):
-            return self._plain(text)
-        out: list[int] = []
-        for part in self._split.split(text):
-            out += [self._special[part]] if part in self._special else self._plain(part)
-        return out
+            return np.frombuffer(self._plain(text), np.int32)
+        parts = [struct.pack("=i", self._special[p]) if p in self._special else self._plain(p)
+                 for p in self._split.split(text)]
+        return np.frombuffer(b"".join(parts), np.int32)
+
+    def forget(self) -> None:
+        """Give the caches' memory back; a worker that waits for other work holds none."""
+        self._fragments.clear()
+        self._merged.clear()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -143,28 +139,36 @@ class ForcedBoundaryBPE:
 
 @lru_cache(maxsize=2)
 def tokenizer_of(path: str) -> ForcedBoundaryBPE:
-    """One encoder a process, so that later tasks find its cache filled."""
+    """One encoder a process: later tasks find its tables loaded."""
     return ForcedBoundaryBPE(path)
 
 
 def _encoded(path: str, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer_of(path)
+    def rows(batches: Iterator[pa.RecordBatch], bpe: ForcedBoundaryBPE) -> Iterator[pa.RecordBatch]:
         decimal: dict[int, str] = {i: str(i) for i in bpe._bytes}
         for b in batches:
             n, ids_sha, text_sha, all_ids = [], [], [], []
-            for text in b.column("text"):
-                ids = bpe.encode(text.as_py())
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
+            with no_cycle_search():
+                for text in b.column("text"):
+                    packed = bpe.encode(text.as_py())
+                    ids = packed.tolist()
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                    if with_ids:
+                        all_ids.append(packed)
             cols = {"_row": b.column("_row"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()),
                     "decoded_sha256": pa.array(text_sha, pa.string())}
             if with_ids:
                 cols["token_ids"] = pa.array(all_ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer_of(path)
+        try:
+            yield from rows(batches, bpe)
+        finally:
+            bpe.forget()
     return run
 
 

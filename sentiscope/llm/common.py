@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Entries of a cache, and the longest key that is kept.
-CACHE = 1 << 19
+# Longest key that a cache keeps.
 LONGEST_KEY = 64
 # Largest table that a caller may hint for broadcast, in bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -89,16 +88,16 @@ def no_cycle_search() -> Iterator[None]:
 
 
 class Cache(dict):
-    """Values of ``make(key)`` with bounded memory: emptied when full."""
+    """Values of ``make(key)`` with bounded memory: emptied when it holds ``size`` entries."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, size: int):
         super().__init__()
-        self.make = make
+        self.make, self.size = make, size
 
     def __missing__(self, key):
         value = self.make(key)
         if len(key) <= LONGEST_KEY:
-            if len(self) >= CACHE:
+            if len(self) >= self.size:
                 self.clear()
             self[key] = value
         return value

@@ -77,7 +77,8 @@ def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGU
     rows = docs.where(usable & F.col("lang").isNotNull())
     share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_share"))
     rows = rows.where(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
-    taken = rows.join(F.broadcast(share), "lang").where(F.col("_h") / 2.0 ** 64 + 0.5 < F.col("_share"))
+    side = F.broadcast(share) if small_enough(share.count(), 64) else share  # a row a language
+    taken = rows.join(side, "lang").where(F.col("_h") / 2.0 ** 64 + 0.5 < F.col("_share"))
     return taken.groupBy("lang", "_h").agg(F.first("text").alias("text")).select("lang", "text")
 
 

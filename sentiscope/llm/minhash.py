@@ -49,6 +49,7 @@ SHINGLE = 5
 BANDS, ROWS = 30, 4
 COORDS = BANDS * ROWS
 LONG = 1024
+CACHE = 1 << 16
 SMALL = 8
 BLOCK = 2048
 
@@ -104,7 +105,7 @@ def sketch(ids: np.ndarray) -> bytes:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = Cache(xxhash.xxh3_64_intdigest)
+    hashes = Cache(xxhash.xxh3_64_intdigest, CACHE)
     for b in batches:
         digests, counts, sigs = [], [], []
         for text in b.column("text"):
@@ -118,7 +119,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = Cache(xxhash.xxh3_64_intdigest)
+    hashes = Cache(xxhash.xxh3_64_intdigest, CACHE)
     for b in batches:
         digests, sets = [], []
         for text in b.column("text"):
@@ -311,11 +312,10 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest doc_id; rows unchanged.
 
-    Rows that repeat a kept doc_id are one document: any one of them stays,
-    unless none of them has a word. A doc_id that is the smallest of one
-    component and not of another stays out of neither: its rows are judged by
-    id, so all go as soon as one of them is not kept. Null doc_ids are judged
-    alike, as one id.
+    Rows are judged by doc_id. Rows that repeat a kept doc_id are one document:
+    any one of them stays (all of them, if none has a word). Where a doc_id
+    stands for different texts, all its rows go if one of them is a copy of a
+    document with a smaller id. Null counts as one id.
     """
     found = materialize(near_duplicates(docs, num, den), "dedup-found")
     kept = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("s"))

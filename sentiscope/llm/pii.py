@@ -311,13 +311,13 @@ def train(lines: list[str] | None = None, ridge: float = 0.02, steps: int = 120,
 class Tagger:
     """Tags the words of many texts at once."""
 
-    TOKENS = 1 << 18
+    WORDS, TOKENS = 1 << 17, 1 << 18
 
     def __init__(self, crf: Crf):
         self.crf = crf
         self.types: dict[tuple[int, ...], int] = {}
         self.table = np.zeros((0, 3, len(TAGS)), np.float32)
-        self.of = Cache(self._type)
+        self.of = Cache(self._type, self.WORDS)
 
     def _type(self, word: str) -> int:
         key = self.crf.known(word)

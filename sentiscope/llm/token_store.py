@@ -39,12 +39,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import Cache, materialize, no_cycle_search, shared_dir
+from .common import Cache, materialize, no_cycle_search, shared_dir, small_enough
 
 BLOCK = 256
 PERCENTILE = 0.9
 FILE_IDS = 1 << 24  # a file ends at the first document end after so many ids
-CHUNK = 1 << 12  # blocks packed at a time
+CHUNK = 1 << 10  # blocks packed at a time
+CACHE = 1 << 19  # entries of each of the two caches, about 140 bytes each
 MAGIC = b"PFORv001"
 
 
@@ -219,12 +220,12 @@ class WordIds(Cache):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(self._word)
+        super().__init__(self._word, CACHE)
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.model = self.tok.model
-        self.pieces = Cache(self._piece)
+        self.pieces = Cache(self._piece, CACHE)
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
 
     def _piece(self, piece: str) -> bytes:
@@ -312,7 +313,8 @@ def read_digests(spark: SparkSession, folder: str, manifest: DataFrame) -> DataF
         order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder)
              .select(F.element_at(F.split("path", "/"), -1).alias("_name"), "content"))
-    wanted = files.join(F.broadcast(based), F.col("_name") == F.col("file")).select("file", "base", "content")
+    side = F.broadcast(based) if small_enough(manifest.count(), 128) else based
+    wanted = files.join(side, F.col("_name") == F.col("file")).select("file", "base", "content")
     return wanted.mapInPandas(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

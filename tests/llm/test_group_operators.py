@@ -223,9 +223,8 @@ def test_write_shards(spark, edge_docs, edge_rows, tmp_path):
     assert back.count() == len(edge_rows) and "row" in back.columns
 
 
-def test_cache_is_bounded_and_right(monkeypatch):
-    monkeypatch.setattr(common, "CACHE", 4)
-    c = common.Cache(lambda k: k * 2)
+def test_cache_is_bounded_and_right():
+    c = common.Cache(lambda k: k * 2, 4)
     for i in range(100):
         assert c[f"k{i % 11}"] == f"k{i % 11}" * 2 and len(c) <= 4
     assert c["x" * 100] == "x" * 200 and "x" * 100 not in c
