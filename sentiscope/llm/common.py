@@ -58,6 +58,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def text_key(col: str = "text") -> Column:
+    """128 bits that stand for a text (null as empty), to tell rows of one doc_id apart."""
+    return F.substring(F.unhex(F.sha2(text_or_empty(col), 256)), 1, 16)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, UPPER, LOWER)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, materialize, small_enough
+from .common import Cache, materialize, small_enough, text_key
 from .components import connected_components
 
 SHINGLE = 5
@@ -113,9 +113,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(len(ids))
             digests.append(hashlib.blake2b(ids.tobytes(), digest_size=16).digest() if len(ids) else None)
             sigs.append(signature(ids) if len(ids) else None)
+        own = [n for n in b.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-             pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+            [*map(b.column, own), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+             pa.array(sigs, pa.binary())], [*own, "n_shingles", "digest", "sig"])
 
 
 def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +131,12 @@ def _shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             [pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "ids"])
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig) of every document."""
+def signatures(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, digest, sig) of every document; ``keyed``: its text's _key after doc_id."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        _sign, f"doc_id {kind}, n_shingles long, digest binary, sig binary")
+    key = [text_key().alias("_key")] if keyed else []
+    return docs.select("doc_id", *key, F.col("text").cast("binary").alias("text")).mapInArrow(
+        _sign, f"doc_id {kind}, {'_key binary, ' if keyed else ''}n_shingles long, digest binary, sig binary")
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,12 +284,8 @@ def _crossing_pairs(buckets: DataFrame, classes: DataFrame, sets: DataFrame, com
     return _ordered(t.groupBy("bucket", "i", "j").applyInPandas(_across(num, den), PAIR))
 
 
-def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, kept.
-
-    Links documents whose shingle sets have den * |intersection| >= num * |union|.
-    """
-    signed = materialize(signatures(docs), "dedup-signed")
+def _linked(docs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
+    """(digest, rep, root): every class with its least doc_id and its component."""
     classes = materialize(signed.where("n_shingles > 0").groupBy("digest", "n_shingles", "sig")
                           .agg(F.min("doc_id").alias("rep")), "dedup-classes")
     buckets = _buckets(classes)
@@ -299,8 +297,17 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
         found = materialize(verified(more, sets, num, den), "dedup-more")
         if not found.isEmpty():
             comps = connected_components(links.union(found))
-    members = classes.join(comps, F.col("digest") == F.col("node"), "left").select(
+    return classes.join(comps, F.col("digest") == F.col("node"), "left").select(
         "digest", "rep", F.coalesce("root", "digest").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id, kept.
+
+    Links documents whose shingle sets have den * |intersection| >= num * |union|.
+    """
+    signed = materialize(signatures(docs), "dedup-signed")
+    members = _linked(docs, signed, num, den)
     ids = members.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = members.join(ids, "root").select("digest", "component_id")
     return (signed.join(by_class, "digest", "left")
@@ -310,22 +317,32 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest doc_id; rows unchanged.
+    """``docs`` with one row of each component, one with the smallest doc_id (null last); rows unchanged.
 
-    Rows are judged by doc_id. Rows that repeat a kept doc_id are one document:
-    any one of them stays (all of them, if none has a word). Where a doc_id
-    stands for different texts, all its rows go if one of them is a copy of a
-    document with a smaller id. Null counts as one id.
+    Rows are judged by doc_id and text, so different texts under one doc_id,
+    or without one, are judged apart. Among rows of a component's smallest
+    doc_id one text is chosen by its key, and any one row of that text stays.
+    Rows without a word all stay.
     """
-    found = materialize(near_duplicates(docs, num, den), "dedup-found")
-    kept = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("s"))
-    twice = materialize(kept.where("n > 1 and s > 0").select(F.col("doc_id").alias("_t")), "dedup-twice")
-    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("_g")).distinct(), "dedup-gone")
-    side = F.broadcast(gone) if small_enough(gone.count(), 24) else gone
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))  # names of docs can't clash
-    rest = rows.join(side, F.col("_id").eqNullSafe(F.col("_g")), "left_anti")
+    signed = materialize(signatures(docs, keyed=True), "dedup-signed")
+    members = _linked(docs, signed, num, den)
+    found = materialize(signed.where("n_shingles > 0").join(members.select("digest", "root"), "digest")
+                        .select("root", "doc_id", "_key"), "dedup-found")
+    first = (found.groupBy("root").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("m"))
+        .where("n > 1").select("root", F.col("m.doc_id").alias("_d"), F.col("m._key").alias("_k")))
+    judged = materialize(found.join(first, "root").select(
+        F.col("doc_id").alias("_t"), F.col("_key").alias("_x"),
+        (F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))).alias("stays")), "dedup-judged")
+    twice = materialize(judged.where("stays").groupBy("_t", "_x").agg(F.count(F.lit(1)).alias("n"))
+                        .where("n > 1").select("_t", "_x"), "dedup-twice")
+    gone = materialize(judged.where("not stays").select("_t", "_x").distinct(), "dedup-gone")
+    side = F.broadcast(gone) if small_enough(gone.count(), 64) else gone
+    same = F.col("_id").eqNullSafe(F.col("_t")) & (F.col("_key") == F.col("_x"))
+    # names of docs can't clash
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), text_key().alias("_key"))
+    rest = rows.join(side, same, "left_anti")
     if not twice.isEmpty():
-        same = F.col("_id").eqNullSafe(F.col("_t"))
-        once = rest.join(twice, same, "left_semi").dropDuplicates(["_id"])
+        once = rest.join(twice, same, "left_semi").dropDuplicates(["_id", "_key"])
         rest = rest.join(twice, same, "left_anti").unionByName(once)
     return rest.select("_row.*")

@@ -115,6 +115,18 @@ def test_repeated_kept_rows_leave_one(spark):
     assert sorted(r["doc_id"] for r in minhash.drop_near_duplicates(df).collect()) == [5, 8]
 
 
+def test_texts_under_one_id_are_judged_apart(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(30))
+
+    rows = [(None, text(c)) for c in "abc"] + [(None, text("a")), (None, text("z")), (None, None), (None, "")]
+    rows += [(1, text("z")), (2, text("d")), (2, text("e")), (2, text("z")), (2, text("d")), (3, text("e"))]
+    rows += [(4, text("f") + " end"), (4, text("f")), (None, text("f"))]  # near copies under one id: one stays
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], (r["text"] or "")[:1]) for r in minhash.drop_near_duplicates(df).collect())
+    assert got == Counter([(None, "a"), (None, "b"), (None, "c"), (None, ""), (None, ""), (1, "z"), (2, "d"), (2, "e"), (4, "f")])
+
+
 def test_signature_estimates_similarity_and_is_circulant():
     rng = np.random.default_rng(1)
     ids = np.unique(rng.integers(0, 2 ** 63, 4000).astype(np.uint64))
