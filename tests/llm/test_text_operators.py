@@ -126,6 +126,19 @@ def test_remove_spans_cuts_only_hits(spark):
     assert got == {1: "Start here: The end.", 2: "nothing to cut", 3: None}
 
 
+def test_texts_under_one_id_are_decontaminated_apart(spark):
+    hit = "one two three four five six seven eight nine ten"
+    rows = [(None, "Start. " + hit), (None, "clean text"), (None, None), (7, hit + " end"), (7, "also clean"), (7, hit), (8, hit), (8, hit)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = [(1, hit), (2, "seven eight nine ten end")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(map(tuple, decontaminate.hit_report(docs, bench).collect())) == Counter(brute_hits(rows, items))
+    clean = Counter(map(tuple, decontaminate.clean_documents(docs, bench).collect()))
+    assert clean == Counter([(None, "clean text"), (None, None), (7, "also clean")])
+    cut = Counter(map(tuple, decontaminate.remove_spans(docs, bench).collect()))
+    assert cut == clean + Counter([(None, "Start. "), (7, ""), (7, ""), (8, ""), (8, "")])
+
+
 # --- personal data ------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
