@@ -71,12 +71,13 @@ def held_out() -> Column:
 def training_rows(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, text): about ``per_language`` distinct usable texts of each language, all if it has fewer.
 
-    A text is taken when its hash lies in the lowest per_language / rows of
-    the hash range; copies of a text count once.
+    A text is taken when its hash lies in the lowest per_language / distinct
+    texts of the hash range; copies of a text count once, null texts never.
     """
-    rows = docs.where(usable & F.col("lang").isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_share"))
-    rows = rows.where(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64("text").alias("_h"))
+    share = (rows.select("lang", "_h").distinct().groupBy("lang")
+             .agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("_share")))
     side = F.broadcast(share) if small_enough(share.count(), 64) else share  # a row a language
     taken = rows.join(side, "lang").where(F.col("_h") / 2.0 ** 64 + 0.5 < F.col("_share"))
     return taken.groupBy("lang", "_h").agg(F.first("text").alias("text")).select("lang", "text")

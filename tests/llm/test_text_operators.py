@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sentiscope.llm import bpe, decontaminate, langid, pii, quality_model, quality_rules, token_store
@@ -331,6 +332,14 @@ def test_languages_held_out(spark, edge_docs, edge_rows, no_docs):
     assert {r[0] for r in langid.predict_languages(unlabelled).select("lang_pred").collect()} == {"und"}
 
 
+def test_copies_and_nulls_do_not_thin_the_sample(spark):
+    rows = [("aa", f"copied text {i % 5}") for i in range(2000)] + [("bb", "only text")] * 500 + [("bb", None)] * 500
+    rows += [("cc", f"own text {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = Counter(r["lang"] for r in langid.training_rows(docs, F.lit(True), 20).collect())
+    assert got["aa"] == 5 and got["bb"] == 1 and 5 <= got["cc"] <= 45
+
+
 # --- quality model ---------------------------------------------------------------------
 
 def test_bradley_terry_gradient_vanishes_and_ranks():
