@@ -71,13 +71,33 @@ def canonical_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, F.lit("?"), F.array_join(own, "&")))
 
 
+def without_dots(path: Column) -> Column:
+    """A rooted path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    folder = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), folder)
+
+
 def absolute(href: Column, base: Column) -> Column:
-    """A link target as a full url; one that is neither rooted nor full is left out."""
+    """A link target as a full url, resolved against the page's own; null for schemes without ``//``."""
     h = F.regexp_replace(href, "&amp;", "&")
     scheme = F.substring_index(base, "://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(base))
+    own = path_of(base)
+    path = F.regexp_extract(h, r"^[^?#]*", 0)
+    tail = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+    folder = F.when(own == "", "/").otherwise(F.regexp_extract(own, r"^.*/", 0))
     return (F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), h)))
+            .when(h.startswith("/"), F.concat(site, without_dots(path), tail))
+            .when((h == "") | h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (F.instr(base, "://") == 0), F.lit(None))
+            .when(h.startswith("#"), F.concat(F.regexp_extract(base, r"^[^#]*", 0), h))
+            .when(h.startswith("?"), F.concat(site, own, h))
+            .otherwise(F.concat(site, without_dots(F.concat(folder, path)), tail)))
 
 
 def page_links(pages: DataFrame) -> DataFrame:

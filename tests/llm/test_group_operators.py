@@ -188,6 +188,22 @@ def test_blocks_travel_along_links_and_allow_wins(spark):
     assert judged(spark, []) == {}
 
 
+def test_page_relative_targets_carry_the_block(spark):
+    base = "http://a.org/x/y/page?q=1#top"
+    want = {"page2.html": "http://a.org/x/y/page2.html", "../de/z?k=../1": "http://a.org/x/de/z?k=../1",
+            "./b": "http://a.org/x/y/b", "?id=3": "http://a.org/x/y/page?id=3", "../../../up/..": "http://a.org/",
+            "..": "http://a.org/x/", "/r/./s/../t": "http://a.org/r/t", "#f": "http://a.org/x/y/page?q=1#f",
+            "//b.org/1": "http://b.org/1", "http://c.org/../1": "http://c.org/../1", "mailto:a@b.org": None, "": None}
+    df = spark.createDataFrame([(h, base) for h in want], "h string, b string")
+    got = df.select("h", url_filter.absolute(url_filter.F.col("h"), url_filter.F.col("b")).alias("u")).collect()
+    assert {r["h"]: r["u"] for r in got} == want
+    link = "<link rel='canonical' href='{}'>".format
+    rows = [(1, "http://example.com/x/1", link("../de/9")), (2, "http://h.org", "<meta http-equiv=refresh content='0; url=next.html'>"),
+            (3, "http://h.org/next.html", link("http://spam.net/x")), (4, "http://h.org/l?id=1", link("?id=3")),
+            (5, "http://h.org/l?id=3", link("http://spam.net/y"))]
+    assert {k: v[1:] for k, v in judged(spark, rows).items()} == {k: ("block", "alias") for k in range(1, 6)}
+
+
 # --- sharding -------------------------------------------------------------------------
 
 def leaves_of(rows, limit, low):
