@@ -6,6 +6,7 @@ from . import bpe
 from .common import table
 from .decontaminate import hit_report
 from .langid import predict_languages
+from .merkle import verify_documents
 from .minhash import near_duplicates
 from .oracle import ORACLE
 from .pii import span_report
@@ -74,6 +75,11 @@ def op10_url_filter(spark, sf_dir):
     return judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    """Leaf, roots and checked proof of every document; half of them are folded with an altered text."""
+    return verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_pii": op2_pii,
@@ -85,5 +91,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if k in QUERIES}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import url_filter
+from .merkle import ARITY, LEAF_COLUMNS
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS, WINDOW
 
 
@@ -145,7 +146,60 @@ SELECT page_id, host, path, rule, coalesce(own, shared, 'allow') AS verdict,
 FROM p LEFT JOIN comp ON form = node LEFT JOIN shared ON shared.root = coalesce(comp.root, form)
 """
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(text if c == "text" else c) for c in LEAF_COLUMNS) + ")"
+
+
+# bit by bit; each step is (c >> 1) ^ (the polynomial if c is odd), with a character's byte let in before its first bit
+_CRC_IN = "xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INTEGER, 1)) ELSE 0 END)"
+_CRC32 = (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, range(8 * length(doc_id::VARCHAR))), "
+          f"lambda c, i: xor({_CRC_IN} >> 1, 3988292384 * ({_CRC_IN} & 1))))")
+
+MERKLE = f"""
+WITH RECURSIVE d AS (
+    SELECT *, {_leaf("text")} AS leaf,
+           CASE WHEN doc_id IS NOT NULL AND {_CRC32} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS other
+    FROM documents),
+l AS (SELECT doc_id, source, leaf, other, row_number() OVER () AS id, count(*) OVER (PARTITION BY source) AS n,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+up(source, level, idx, n, h) AS (
+    SELECT source, 0::BIGINT, idx, n, leaf FROM l
+    UNION ALL
+    SELECT source, level + 1, idx // {ARITY}, (n + {ARITY - 1}) // {ARITY}, sha256(string_agg(h, '' ORDER BY idx))
+    FROM up WHERE n > 1 GROUP BY source, level, idx // {ARITY}, n),
+subs AS (SELECT source, h, count(*) OVER () AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx FROM up WHERE n = 1),
+top(level, idx, n, h) AS (
+    SELECT 0::BIGINT, idx, n, h FROM subs
+    UNION ALL
+    SELECT level + 1, idx // {ARITY}, (n + {ARITY - 1}) // {ARITY}, sha256(string_agg(h, '' ORDER BY idx))
+    FROM top WHERE n > 1 GROUP BY level, idx // {ARITY}, n),
+near AS (
+    SELECT l.id, u.level AS lv, u.idx, u.h, l.idx // pow({ARITY}, u.level)::BIGINT AS me
+    FROM l JOIN up u ON u.source IS NOT DISTINCT FROM l.source AND u.n > 1 AND u.idx // {ARITY} = l.idx // pow({ARITY}, u.level + 1)::BIGINT
+    UNION ALL
+    SELECT l.id, 1000 + u.level, u.idx, u.h, s.idx // pow({ARITY}, u.level)::BIGINT
+    FROM l JOIN subs s ON s.source IS NOT DISTINCT FROM l.source
+    JOIN top u ON u.n > 1 AND u.idx // {ARITY} = s.idx // pow({ARITY}, u.level + 1)::BIGINT),
+step AS (SELECT id, lv, row_number() OVER (PARTITION BY id ORDER BY lv) AS k,
+                coalesce(string_agg(h, '' ORDER BY idx) FILTER (WHERE idx < me), '') AS before,
+                coalesce(string_agg(h, '' ORDER BY idx) FILTER (WHERE idx > me), '') AS after FROM near GROUP BY id, lv),
+folded(id, k, h) AS (
+    SELECT id, 0::BIGINT, other FROM l
+    UNION ALL
+    SELECT f.id, s.k, sha256(s.before || f.h || s.after) FROM folded f JOIN step s ON s.id = f.id AND s.k = f.k + 1),
+ended AS (SELECT id, arg_max(h, k) AS folded_root FROM folded GROUP BY id),
+proof AS (SELECT id, sha256(string_agg(before || after, '' ORDER BY lv)) AS p FROM step GROUP BY id)
+SELECT l.doc_id, l.leaf, subs.h AS subroot, r.h AS root, coalesce(proof.p, sha256('')) AS proof_sha256,
+       ended.folded_root, ended.folded_root = r.h AS verified
+FROM l JOIN subs ON subs.source IS NOT DISTINCT FROM l.source JOIN ended USING (id) LEFT JOIN proof USING (id)
+JOIN (SELECT h FROM top WHERE n = 1) r ON true
+"""
+
 ORACLE = {
+    "op11_merkle_manifest": MERKLE,
     "op10_url_filter": URLS,
     "op5_minhash_dedup": NEAR_DUPLICATES,
     "op3_decontamination": DECONTAMINATION,
