@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import bpe
+from .alignment import align
 from .common import table
 from .decontaminate import hit_report
 from .langid import predict_languages
@@ -80,6 +81,11 @@ def op11_merkle_manifest(spark, sf_dir):
     return verify_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark, sf_dir):
+    """Groups and links between the tokens of two tokenizers in every document."""
+    return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_pii": op2_pii,
@@ -92,5 +98,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_alignment": op13_alignment,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if k in QUERIES}
