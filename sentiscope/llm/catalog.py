@@ -15,6 +15,7 @@ from .quality_model import score_documents
 from .quality_rules import quality_report
 from .sharding import shard_report
 from .token_store import token_digests
+from .toxicity import score_documents as score_toxicity
 
 from .url_filter import judge_pages
 
@@ -81,6 +82,11 @@ def op11_merkle_manifest(spark, sf_dir):
     return verify_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark, sf_dir):
+    """Toxicity score of every document from its nearest labelled examples that aren't held out."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_alignment(spark, sf_dir):
     """Groups and links between the tokens of two tokenizers in every document."""
     return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
@@ -98,6 +104,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_alignment": op13_alignment,
 }
 ORACLE = {k: v for k, v in ORACLE.items() if k in QUERIES}
