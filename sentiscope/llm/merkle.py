@@ -54,14 +54,6 @@ def parent(digests: list[str]) -> str:
     return hashlib.sha256("".join(digests).encode()).hexdigest()
 
 
-def height(n: int) -> int:
-    """Levels above the leaves of a tree of ``n`` leaves."""
-    levels = 0
-    while n > 1:
-        n, levels = -(-n // ARITY), levels + 1
-    return levels
-
-
 def missing(first: int, last: int, n: int) -> list[tuple[int, int]]:
     """The octopus: coordinates (level, index) that the proofs of leaves first .. last need together.
 
@@ -175,30 +167,32 @@ def _indexed(placed: DataFrame, runs: DataFrame, digest: str) -> DataFrame:
 NODE = "level int, idx long, total long, digest binary"
 
 
-def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes up to DEPTH levels above each group of nodes; rows come sorted by tree and idx."""
-    def rows() -> Iterator[tuple]:
+def _built(depth: int) -> Callable:
+    """The nodes up to ``depth`` levels above each group of nodes; rows come sorted by tree and idx."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             yield from zip(*(b.column(c).to_pylist() for c in ("tree", "level", "idx", "total", "digest")))
 
-    def grown() -> Iterator[tuple]:
-        for (tree, _), group in itertools.groupby(rows(), key=lambda r: (r[0], r[2] // ARITY ** DEPTH)):
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (tree, _), group in itertools.groupby(rows(batches), key=lambda r: (r[0], r[2] // ARITY ** depth)):
             group = list(group)
-            level, at, n = group[0][1:4]
+            level, at, n = group[0][1], group[0][2], group[0][3]
             nodes = [r[4].hex() for r in group]
-            for _ in range(DEPTH):
+            for _ in range(depth):
                 if n == 1:
                     break
                 nodes = [parent(nodes[k:k + ARITY]) for k in range(0, len(nodes), ARITY)]
                 level, at, n = level + 1, at // ARITY, -(-n // ARITY)
                 yield from ((tree, level, at + i, n, bytes.fromhex(x)) for i, x in enumerate(nodes))
 
-    made = grown()
-    while chunk := list(itertools.islice(made, 10_000)):
-        tree, level, idx, total, digest = zip(*chunk)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tree, pa.string()), pa.array(level, pa.int32()), pa.array(idx, pa.int64()),
-             pa.array(total, pa.int64()), pa.array(digest, pa.binary())], ["tree", "level", "idx", "total", "digest"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = grown(batches)
+        while chunk := list(itertools.islice(made, 10_000)):
+            tree, level, idx, total, digest = zip(*chunk)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tree, pa.string()), pa.array(level, pa.int32()), pa.array(idx, pa.int64()),
+                 pa.array(total, pa.int64()), pa.array(digest, pa.binary())], ["tree", "level", "idx", "total", "digest"])
+    return run
 
 
 def _interior(nodes: DataFrame, most: int, name: str) -> DataFrame | None:
@@ -207,7 +201,7 @@ def _interior(nodes: DataFrame, most: int, name: str) -> DataFrame | None:
     while most > 1:
         group = F.floor(F.col("idx") / ARITY ** DEPTH)
         dealt = current.where("total > 1").repartition("tree", group).sortWithinPartitions("tree", "idx")
-        made = materialize(dealt.mapInArrow(_built, "tree string, " + NODE), f"{name}-{level}")
+        made = materialize(dealt.mapInArrow(_built(DEPTH), "tree string, " + NODE), f"{name}-{level}")
         out = made if out is None else out.unionByName(made)
         level, most = level + DEPTH, -(-most // ARITY ** DEPTH)
         current = made.where(F.col("level") == level)
