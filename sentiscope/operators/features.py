@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import StringIndexer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..functions.lookups import (
-    CATEGORICAL_FEATURES,
     ENGLISH_STOP_WORDS,
     RATING_TARGETS,
     REGRESSION_TARGETS,
 )
+from .encoding import label_encode
 
 # Ranges of one round of exact selection.
 SELECT_BUCKETS = 1024
@@ -110,15 +109,6 @@ def median_impute(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # --- encodings, bins, classes ----------------------------------------------
 
-def label_encode(df: DataFrame, col: str, out: str | None = None, fill: str = "Unknown") -> DataFrame:
-    """M3: sorted-order label codes (NULL -> 'Unknown' first), like LabelEncoder."""
-    out = out or f"{col}_code"
-    filled = df.withColumn("_lbl", F.coalesce(F.col(col).cast("string"), F.lit(fill)))
-    model = StringIndexer(inputCol="_lbl", outputCol="_code", stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(filled)
-    return model.transform(filled).withColumn(out, F.col("_code").cast("int")).drop("_lbl", "_code")
-
-
 def top_classes(df: DataFrame, col: str, k: int = 15, other: str = "Other",
                 min_count: int = 4, fill: str = "Unknown") -> DataFrame:
     """A21 + F13: keep the k most frequent classes (ties by value), the rest -> Other;
@@ -212,7 +202,7 @@ def split_stratified(df: DataFrame, label: str, id_col: str = "product_id", seed
 
 # --- text features ----------------------------------------------------------
 
-def _terms(df: DataFrame, id_col: str, text_col: str, stops: list[str], ngram: int) -> DataFrame:
+def term_lists(df: DataFrame, id_col: str, text_col: str, stops: list[str], ngram: int) -> DataFrame:
     """(id, _t): the terms of each text, in order, words before pairs."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
     toks = F.filter(toks, lambda t: ~t.isin(*stops)) if stops else toks
@@ -237,7 +227,7 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int,
     """
     stops = ENGLISH_STOP_WORDS if stops is None else stops
     n_docs = df.count()
-    lists = _terms(df, id_col, text_col, stops, ngram)
+    lists = term_lists(df, id_col, text_col, stops, ngram)
     top = (lists.select(F.explode("_t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
            .orderBy(F.desc("cf"), F.asc("term")).limit(max_features).select("term"))
     kept = lists.select(id_col, F.explode("_t").alias("term")).join(F.broadcast(top), "term")
@@ -280,33 +270,3 @@ NUMERIC = {
 TARGET_FEATURE = {"price": "_price", "rating": "_rating", "total_reviews": "_revn",
                   "weight": "_weight", "battery_power_rating": "_batt",
                   "reviews_rating": "_ravg", "reviews": "_rcnt"}
-
-
-def feature_table(products: DataFrame, exclude: str | None = None, title_terms: int = 60,
-                  leak_safe: bool = True) -> tuple[DataFrame, list[str]]:
-    """M1: numeric (median-imputed) + categorical codes + title TF-IDF, standardised.
-
-    Returns (product_id + feature columns, feature column names). With
-    ``leak_safe`` the target's own derived feature is dropped (Q5).
-    """
-    drop = {exclude, TARGET_FEATURE.get(exclude) if leak_safe else None}
-    num = [k for k in NUMERIC if k not in drop]
-    cat = [c for c in CATEGORICAL_FEATURES if c not in drop]
-    base = products.select("product_id", "title", *cat, *[NUMERIC[k]().alias(k) for k in num])
-    base = median_impute(base, num)
-    for c in cat:
-        base = label_encode(base, c, f"{c}_code")
-    feats = num + [f"{c}_code" for c in cat]
-    if exclude != "title" and title_terms:
-        tf = tfidf(base, "product_id", "title", title_terms)
-        vocab = [r["term"] for r in tf.select("term").distinct().orderBy("term").collect()]
-        wide = tf.groupBy("product_id").pivot("term", vocab).agg(F.first("weight"))
-        tcols = [f"t_{i}" for i in range(len(vocab))]
-        wide = wide.select("product_id", *[F.coalesce(F.col(f"`{v}`"), F.lit(0.0)).alias(t)
-                                           for v, t in zip(vocab, tcols)])
-        base = base.join(wide, "product_id", "left").fillna(0.0, subset=tcols)
-        feats += tcols
-    for c in feats:
-        base = base.withColumn(c, F.col(c).cast("double"))
-    return standardize(base, feats, ["product_id"]), feats
-

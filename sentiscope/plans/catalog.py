@@ -221,7 +221,6 @@ from ..operators import features as FE  # noqa: E402
 from ..operators import neighbors as NB  # noqa: E402
 from ..operators import scoreboard as SB  # noqa: E402
 from ..operators.evaluate import classification_metrics, regression_metrics  # noqa: E402
-from ..operators.models import ridge_predictions  # noqa: E402
 from ..streaming.events import daily_event_windows  # noqa: E402
 
 NUMERIC_COLS = ["_price", "_rating", "_revn", "_weight", "_batt", "_ravg", "_rcnt"]
@@ -319,24 +318,12 @@ def q_regression_metrics(spark, sf_dir):
                                        (F.lit(3.0) + 2.0 * F.col("compound")).alias("prediction")))
 
 
-def q_feature_matrix(spark, sf_dir):
-    X, feats = FE.feature_table(products(spark, sf_dir), exclude="rating")
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=feats, outputCol="features").transform(X).select(
-        "product_id", "features")
-
-
 def q_product_detail(spark, sf_dir):
     """Every product's card: display values, number of reviews, mean stars."""
     p = products(spark, sf_dir)
     return A.product_cards(p, flatten_reviews(p))
 
 
-def q_ridge_price(spark, sf_dir):
-    """Price of the test products predicted by ridge regression."""
-    return ridge_predictions(products(spark, sf_dir), "price").withColumn("prediction", F.bround("prediction", 4))
-
-
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SCORE_AT = 35
@@ -381,7 +368,6 @@ def q_event_windows(spark, sf_dir):
     return daily_event_windows(ev)
 
 
-# Not registered: the MLlib training run (operators/models.py), see the README.
 QUERIES.update({
     "median_impute": q_median_impute,
     "label_encode": q_label_encode,
@@ -397,12 +383,13 @@ QUERIES.update({
     "svd_knn": q_svd_knn,
     "weighted_metrics": q_weighted_metrics,
     "regression_metrics": q_regression_metrics,
-    "feature_matrix": q_feature_matrix,
     "event_windows": q_event_windows,
     "product_detail": q_product_detail,
-    "ridge_price": q_ridge_price,
     "model_scoreboard": q_model_scoreboard,
     "best_per_target": q_best_per_target,
     "score_shares": q_score_shares,
     "score_matrix": q_score_matrix,
 })
+from .training import QUERIES as TRAINING_QUERIES  # noqa: E402
+
+QUERIES.update(TRAINING_QUERIES)

@@ -695,3 +695,7 @@ f AS (SELECT model, min(target_order * 100 + model_order) AS seen,
       FROM r GROUP BY model)
 SELECT * EXCLUDE (seen), CAST(row_number() OVER (ORDER BY seen, model) AS INTEGER) AS first_seen FROM f""",
 })
+
+from .training_oracle import ORACLE as TRAINING_ORACLE  # noqa: E402
+
+ORACLE.update(TRAINING_ORACLE)
