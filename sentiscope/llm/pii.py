@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,7 +106,7 @@ _MARKED = re.compile(r"\{(\w+): ([^}]*)\}")
 _EDGE = "\"'.,;:!?*#$%&|<>[]{}`=“”‘’«»"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT_RUN = re.compile(r"[0-9]+")
-_MIXED = re.compile(r"(?=[0-9A-Za-z]*[0-9])(?=[0-9A-Za-z]*[A-Za-z])[0-9A-Za-z]{16,}")
+_LONG_RUN = re.compile("[0-9A-Za-z]{16,}")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -170,9 +171,14 @@ def _letters_shape(m: re.Match) -> str:
     return "x" if m[0].islower() else "X" if m[0].isupper() else "Xx"
 
 
+def _mixes(run: str) -> bool:
+    """Whether a run of ASCII letters and digits has both."""
+    return not run.isdigit() and not run.isalpha()
+
+
 def shape(word: str) -> str:
     """H for long runs that mix letters and digits, x, X or Xx for letters, dN for digits."""
-    s = _MIXED.sub("\x00", word)
+    s = _LONG_RUN.sub(lambda m: "\x00" if _mixes(m[0]) else m[0], word)
     s = _DIGIT_RUN.sub(lambda m: "\x01" + _digits_shape(m), s) if _DIGIT.search(s) else s
     s = re.sub(r"\x01d[0-9]+|[^\W\d_]+", lambda m: m[0][1:] if m[0][0] == "\x01" else _letters_shape(m), s)
     return s.replace("\x00", "H")
@@ -196,7 +202,7 @@ def features(word: str) -> list[str]:
         out.append("plus")
     if core[:1] == "(" and digits:
         out.append("open")
-    if _MIXED.search(core):
+    if any(_mixes(m[0]) for m in _LONG_RUN.finditer(core)):
         out.append("mixed")
     if core.count(".") == 3 and digits:
         out.append("dots3")
@@ -402,7 +408,15 @@ def crf_spans(text: str, tags: np.ndarray) -> list[Span]:
 
 def merged_spans(base: list[Span], more: list[Span]) -> list[Span]:
     """Base spans, and those of the CRF that overlap none; by kind, then start."""
-    added = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    starts, reach = [], []  # of base spans by start, and the greatest end so far
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    added = []
+    for s in more:
+        before = bisect_left(starts, s[2])
+        if not before or reach[before - 1] <= s[1]:
+            added.append(s)
     return sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
