@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine on block-max inverted indexes.
 
 Terms are lower-cased words and, of words of more than STEM letters, their
-first STEM letters. A term takes part if its documents differ between the two
-labels by a likelihood-ratio statistic of at least LEAST_G2, counted over all
-labels learnt from (each text once a label); of more than ``terms`` such terms
-those with the highest statistic do. Its idf is counted over all documents.
+first STEM letters. A term takes part if label 1 is at least LEAST_LIFT times as
+frequent among its documents as among all, or at most that part as frequent, and
+the likelihood-ratio statistic is at least LEAST_G2, counted over all labels learnt
+from (each text once a label); of more than ``terms`` such terms those with the
+highest statistic do. Its idf is counted over all documents.
 
 Examples are the labelled documents that hold a term, at most about
 ``per_label`` of each label, chosen by hash of their ids. The index keeps for
@@ -44,9 +45,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_key
 
-WORD = re.compile(r"[^\W_]+")
+# ASCII characters but letters and digits, and the marks and blanks of Latin-1, general and CJK punctuation.
+MARKS_TO_BLANKS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+OTHER_MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u3000-\u303f]")
+MANY = 5_000  # words from which on a text's words are counted all at once
 STEM = 5
-LEAST_G2, LEAST_DOCS = 24.0, 3
+LEAST_G2, LEAST_LIFT, LEAST_DOCS = 24.0, 2.0, 3
 TERMS, PER_LABEL = 20_000, 3_000
 NEIGHBOURS, BLOCK = 20, 32
 SHARPNESS, PRIOR_WEIGHT, LEAST_VOTE, RIDGE = 2.0, 0.1, 1e-6, 1e-3
@@ -54,13 +58,39 @@ CUT = 0.5
 FLUSH = 1 << 16
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of ASCII letters and digits and of other characters but white space and punctuation."""
+    plain = (text or "").lower()
+    if not plain.isascii():
+        plain = OTHER_MARKS.sub(" ", plain)
+    return plain.encode().translate(MARKS_TO_BLANKS).decode().split()
+
+
+def stems_of(words: list[str]) -> list[str]:
+    return [w[:STEM] for w in words if len(w) > STEM]
+
+
 def term_counts(text: str | None) -> Counter:
-    """How often each term occurs in a text."""
-    counts = Counter(WORD.findall((text or "").lower()))
-    for w, n in list(counts.items()):
-        if len(w) > STEM:
-            counts[w[:STEM] + "*"] += n  # no word holds the mark
-    return counts
+    """How often each term occurs in a text; stems carry a mark that no word holds."""
+    words = words_of(text)
+    return Counter(words) + Counter(x + "*" for x in stems_of(words))
+
+
+class Terms:
+    """Numbers of the terms that take part."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.words = {t: i for i, t in enumerate(names) if t[-1] != "*"}
+        self.stems = {t[:-1]: i for i, t in enumerate(names) if t[-1] == "*"}
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """How often each term that takes part occurs in a text, by number."""
+        words = words_of(text)
+        stems = stems_of(words)
+        out = {self.words[w]: words.count(w) for w in self.words.keys() & set(words)} if len(words) < MANY else \
+            {self.words[w]: n for w, n in Counter(words).items() if w in self.words}
+        return out | {self.stems[x]: n for x, n in Counter(x for x in stems if x in self.stems).items()}
 
 
 # --- block-max index ---------------------------------------------------------
@@ -109,13 +139,12 @@ class BlockMaxIndex:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         by_block = np.argsort(block, kind="stable")
-        starts = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        found, cosines, done, step = *none, 0, 4
+        cells = Lists(block[by_block], self.blocks, by_block)
+        found, cosines, done, step = *none, 0, 8
         while done < len(order):
             if len(found) >= k and bound[order[done]] < cosines[k - 1] - 1e-9:
                 break
-            taken = order[done:done + step]
-            mine = np.concatenate([by_block[starts[b]:starts[b + 1]] for b in taken])
+            mine = by_block[cells.places(order[done:done + step])[0]]
             place, of = self._postings.places(at[mine])
             example, w = self._postings.values[0][place], self._postings.values[1][place]
             own, inverse = np.unique(example, return_inverse=True)
@@ -124,7 +153,7 @@ class BlockMaxIndex:
             found, cosines = np.concatenate([found, own[keep]]), np.concatenate([cosines, cosine[keep]])
             best = np.lexsort((found, -np.round(cosines, 12)))[:k]
             found, cosines = found[best], cosines[best]
-            done, step = done + step, step * 2
+            done, step = done + step, step * 4
         return found, np.minimum(cosines, 1.0)
 
 
@@ -133,10 +162,10 @@ class BlockMaxIndex:
 class Model:
     """Terms with their idf, the index over the examples, their labels, and the curve of the scores."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[object, int, dict[str, int]]],
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[object, int, dict[int, int]]],
                  all_labels: tuple[int, int], with_terms: tuple[int, int], k: int = NEIGHBOURS):
-        """``examples``: (id, label, counts of terms); how many texts of label 0 and 1 there are, and how many hold a term."""
-        self.number, self.idf, self.k = {t: i for i, t in enumerate(terms)}, idf, k
+        """``examples``: (id, label, counts of terms by number); how many texts of label 0 and 1 there are, and how many hold a term."""
+        self.terms, self.idf, self.k = Terms(terms), idf, k
         self.share = _share(with_terms)
         rest = (all_labels[0] - with_terms[0], all_labels[1] - with_terms[1])
         self.otherwise = _share(all_labels) if not sum(rest) else (rest[1] + _share(all_labels)) / (sum(rest) + 1)
@@ -154,9 +183,9 @@ class Model:
             x = np.array([self.vote(*self.index.nearest(t, w, self.k, i)) for i, (t, w) in enumerate(vectors)])
             self.curve = fitted(x, self.labels, self.weight)
 
-    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and TF-IDF weights, of unit length."""
-        known = sorted((self.number[t], n) for t, n in counts.items() if t in self.number)
+        known = sorted(counts.items())
         term = np.array([t for t, _ in known], np.int64)
         w = (1 + np.log(np.array([n for _, n in known], np.float64))) * self.idf[term]
         size = np.sqrt(w @ w)
@@ -171,7 +200,7 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[object, float, int]]]:
         """Calibrated score, and the neighbours (id, cosine, label)."""
-        found, cosines = self.index.nearest(*self.vector(term_counts(text)), self.k)
+        found, cosines = self.index.nearest(*self.vector(self.terms.counts(text)), self.k)
         if not len(found):
             return self.otherwise, []
         a, b = self.curve
@@ -214,7 +243,10 @@ def held_out() -> Column:
 
 def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lists = [list(term_counts(t.as_py())) for t in b.column("text")]
+        lists = []
+        for t in b.column("text"):
+            words = words_of(t.as_py())
+            lists.append([*set(words), *{x + "*" for x in stems_of(words)}])
         yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(lists, pa.list_(pa.string()))], ["toxic", "terms"])
 
 
@@ -238,14 +270,16 @@ def label_terms(known: DataFrame, terms: int = TERMS) -> list[str]:
 
     g2 = (part(n1, n * all_1 / total) + part(n - n1, n * (total - all_1) / total)
           + part(all_1 - n1, (total - n) * all_1 / total) + part(total - all_1 - n + n1, (total - n) * (total - all_1) / total))
-    picked = counts.withColumn("g2", F.round(g2, 6)).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(terms)
+    share = n1 / n * (total / all_1)  # of label 1, against that of all texts
+    telling = (share >= LEAST_LIFT) | (share <= 1 / LEAST_LIFT)
+    picked = counts.withColumn("g2", F.round(g2, 6)).where((F.col("g2") >= LEAST_G2) & telling).orderBy(F.desc("g2"), "term").limit(terms)
     return sorted(r["term"] for r in picked.select("term").collect())
 
 
-def _frequencies(number: dict[str, int]) -> Callable:
+def _frequencies(terms: Terms) -> Callable:
     """Partial document counts of the terms: one list a task and FLUSH documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = np.zeros(len(number), np.int64), 0
+        count, seen = np.zeros(len(terms.names), np.int64), 0
 
         def row() -> pa.RecordBatch:
             some = np.flatnonzero(count)
@@ -253,9 +287,7 @@ def _frequencies(number: dict[str, int]) -> Callable:
 
         for b in batches:
             for t in b.column("text"):
-                for term in term_counts(t.as_py()):
-                    if term in number:
-                        count[number[term]] += 1
+                count[list(terms.counts(t.as_py()))] += 1
             seen += b.num_rows
             if seen >= FLUSH:
                 yield row()
@@ -266,19 +298,17 @@ def _frequencies(number: dict[str, int]) -> Callable:
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
     """How many of all documents hold each term."""
-    parts = docs.select("text").mapInArrow(_frequencies({t: i for i, t in enumerate(terms)}), "term int, n long")
+    parts = docs.select("text").mapInArrow(_frequencies(Terms(terms)), "term int, n long")
     out = np.zeros(len(terms))
     for r in parts.groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most a row a term
         out[r["term"]] = r["n"]
     return out
 
 
-def _examples(terms: list[str]) -> Callable:
-    number = {t: i for i, t in enumerate(terms)}
-
+def _examples(terms: Terms) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [{number[t]: n for t, n in term_counts(x.as_py()).items() if t in number} for x in b.column("text")]
+            counts = [terms.counts(x.as_py()) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.int32())),
                  pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["id", "toxic", "term", "times"])
@@ -301,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, terms:
     names = label_terms(labelled, terms)
     if not names:
         return Model([], np.empty(0), [], size, (0, 0))
-    rows = labelled.mapInArrow(_examples(names), "id string, toxic int, term array<int>, times array<int>").where(F.size("term") > 0)
+    rows = labelled.mapInArrow(_examples(Terms(names)), "id string, toxic int, term array<int>, times array<int>").where(F.size("term") > 0)
     rows = materialize(rows, "toxic-examples")
     have = _by_label(rows)
     quota = F.when(F.col("toxic") == 1, per_label / max(have[1], 1)).otherwise(per_label / max(have[0], 1))
@@ -309,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, terms:
     df = document_frequencies(docs, names)
     idf = np.log(1 + docs.count() / np.maximum(df, 1))
     picked.sort(key=lambda r: (r["id"], r["toxic"]))
-    return Model(names, idf, [(r["id"], r["toxic"], {names[t]: n for t, n in zip(r["term"], r["times"])}) for r in picked],
+    return Model(names, idf, [(r["id"], r["toxic"], dict(zip(r["term"], r["times"]))) for r in picked],
                  size, have)
 
 

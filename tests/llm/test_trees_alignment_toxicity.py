@@ -252,14 +252,18 @@ def test_terms_and_scores_match_brute_force(spark):
         x, x_1 = sum(term in c for c, _ in learnt), sum(term in c for c, y in learnt if y)
         cells = ((x_1, x * n_1 / n), (x - x_1, x * (n - n_1) / n), (n_1 - x_1, (n - x) * n_1 / n),
                  (n - n_1 - x + x_1, (n - x) * (n - n_1) / n))
-        return 2 * sum(o * np.log(o / e) for o, e in cells if o) if x >= toxicity.LEAST_DOCS else 0
-
-    assert list(model.number) == sorted(t for t in {t for c, _ in learnt for t in c} if g2(t) >= toxicity.LEAST_G2)
-    df = [sum(t in toxicity.term_counts(r[1]) for r in rows) for t in model.number]
+        lift = x_1 / x * n / n_1
+        if x < toxicity.LEAST_DOCS or 1 / toxicity.LEAST_LIFT < lift < toxicity.LEAST_LIFT:
+            return 0
+        return 2 * sum(o * np.log(o / e) for o, e in cells if o)
+
+    names = model.terms.names
+    assert names == sorted(t for t in {t for c, _ in learnt for t in c} if g2(t) >= toxicity.LEAST_G2)
+    df = [sum(t in toxicity.term_counts(r[1]) for r in rows) for t in names]
     assert np.allclose(model.idf, np.log(1 + len(rows) / np.array(df)))
-    vectors = [model.vector(c) for c, _ in learnt]
+    vectors = [model.vector({names.index(t): n for t, n in c.items() if t in names}) for c, _ in learnt]
     for r in rows[:40]:
-        term, weight = model.vector(toxicity.term_counts(r[1]))
+        term, weight = model.vector(model.terms.counts(r[1]))
         q = dict(zip(term.tolist(), weight))
         cos = sorted((sum(q.get(t, 0) * w for t, w in zip(*v)) for v in vectors), reverse=True)
         got = model.index.nearest(term, weight, 10)[1]
