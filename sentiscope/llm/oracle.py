@@ -53,44 +53,44 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 DECONTAMINATION = rf"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '{NOT_WORD}'), lambda x: x <> '') AS w
-           FROM documents),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+                  list_filter(regexp_split_to_array({_LOWERED}, '{NOT_WORD}'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array({_LOWERED}, '{NOT_WORD}'), lambda x: x <> '') AS w
       FROM benchmark),
 bl AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
 bp AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM bl),
 bw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM bp),
 lens AS (SELECT DISTINCT n FROM bw),
-dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n),
-dw AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM dp),
-hit AS (SELECT doc_id, p, n, item_id FROM dw JOIN bw USING (n, s)),
-cov AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM hit, range(10) r(k) WHERE k < n GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
-       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+dp AS (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n),
+dw AS (SELECT k, p, n, array_to_string(w[p:p + n - 1], ' ') AS s FROM dp),
+hit AS (SELECT k, p, n, item_id FROM dw JOIN bw USING (n, s)),
+cov AS (SELECT k, count(DISTINCT p + o) AS n_hit FROM hit, range(10) r(o) WHERE o < n GROUP BY k),
+it AS (SELECT k, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+       FROM (SELECT DISTINCT k, item_id::VARCHAR AS i FROM hit) GROUP BY k)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
+FROM d LEFT JOIN cov USING (k) LEFT JOIN it USING (k)
 """
 
 NEAR_DUPLICATES = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '{WS}'), lambda x: x <> '') AS w
-                     FROM documents),
-p AS (SELECT doc_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id,
+                            list_filter(regexp_split_to_array({_LOWERED}, '{WS}'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT row, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i
       FROM d WHERE len(w) > 0),
-s AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM p),
-c AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
-x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (k, g)
-      WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM x JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b
+s AS (SELECT DISTINCT row, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM p),
+c AS (SELECT row, count(*)::BIGINT AS n FROM s GROUP BY row),
+x AS (SELECT a.row AS a, b.row AS b, count(*) AS i FROM s a JOIN s b USING (k, g)
+      WHERE a.row <> b.row GROUP BY ALL),
+e AS (SELECT a, b FROM x JOIN c ca ON ca.row = a JOIN c cb ON cb.row = b
       WHERE 100 * i >= 85 * (ca.n + cb.n - i)),
-r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.to_id = e.a)
-SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.to_id AS component_id, d.doc_id = m.to_id AS kept
-FROM d JOIN (SELECT doc_id, min(to_id) AS to_id FROM r GROUP BY doc_id) m USING (doc_id) LEFT JOIN c USING (doc_id)
+r(row, other) AS (SELECT row, row FROM d UNION SELECT r.row, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT r.row, min(d.doc_id) AS component_id FROM r JOIN d ON d.row = r.other GROUP BY r.row)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN m USING (row) LEFT JOIN c USING (row)
 """
 
 
-
 def _host(u: str) -> str:
     return (f"translate(CASE WHEN contains({u}, '://') THEN regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's') ELSE '' END, "
             "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
@@ -116,10 +116,25 @@ def _form(u: str) -> str:
             f"lambda x: x <> '' AND NOT regexp_matches(x, {q(url_filter.TRACKING)}))), '&') END")
 
 
+def _without_dots(path: str) -> str:
+    kept = (f"list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split({path}, '/')[2:], lambda x: [x])), "
+            "lambda done, x: CASE WHEN x[1] = '..' THEN done[1:greatest(len(done) - 1, 0)] WHEN x[1] = '.' THEN done "
+            "ELSE list_concat(done, x) END)")
+    return (f"('/' || array_to_string({kept}, '/') || "
+            f"CASE WHEN regexp_matches({path}, '/\\.\\.?$') AND len({kept}) > 0 THEN '/' ELSE '' END)")
+
+
 def _absolute(h: str, base: str) -> str:
+    site = f"split_part({base}, '://', 1) || '://' || {_host(base)}"
+    path, tail = f"regexp_extract({h}, '^[^?#]*', 0)", f"regexp_extract({h}, '^[^?#]*(.*)$', 1)"
+    folder = f"CASE WHEN {_path(base)} = '' THEN '/' ELSE regexp_extract({_path(base)}, '^.*/', 0) END"
     return (f"CASE WHEN regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {h} "
             f"WHEN starts_with({h}, '//') THEN split_part({base}, '://', 1) || ':' || {h} "
-            f"WHEN starts_with({h}, '/') THEN split_part({base}, '://', 1) || '://' || {_host(base)} || {h} END")
+            f"WHEN starts_with({h}, '/') THEN {site} || {_without_dots(path)} || {tail} "
+            f"WHEN {h} = '' OR regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') OR NOT contains({base}, '://') THEN NULL "
+            f"WHEN starts_with({h}, '#') THEN regexp_extract({base}, '^[^#]*', 0) || {h} "
+            f"WHEN starts_with({h}, '?') THEN {site} || {_path(base)} || {h} "
+            f"ELSE {site} || {_without_dots(f'({folder} || {path})')} || {tail} END")
 
 
 URLS = f"""
