@@ -17,6 +17,8 @@ from ..operators import analytics as A
 from ..operators.filters import FilterSpec, apply_filters, price_bounds, title_search
 from ..operators.reviews import clean_products, flatten_reviews
 from ..operators.sentiment import score_basic, score_full, score_reviews
+from ..sources.scored import ScoredTable
+from ..sources.store import fresh_path
 from ..sources.testdata import document_reviews, raw_products
 
 # Scoring mode used by the analytics queries.
@@ -35,12 +37,40 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_reviews(products(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str, mode: str = ANALYTICS_SCORING) -> DataFrame:
-    return score_reviews(reviews(spark, sf_dir), fixture_resources(spark), mode)
+def _score(products: DataFrame) -> DataFrame:
+    return score_reviews(flatten_reviews(products), fixture_resources(products.sparkSession), ANALYTICS_SCORING)
+
+
+#: Scored tables of a session, by table folder: the analytics queries share one.
+_SCORED: dict[tuple[str, str], ScoredTable] = {}
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCORED:
+        table = ScoredTable(spark, fresh_path(spark, "scored"), _score)
+        table.build(products(spark, sf_dir))
+        _SCORED[key] = table
+    return _SCORED[key].read()
 
 
 # --- cleaning, flattening, scoring ---------------------------------------
 
+def q_scored_update(spark, sf_dir):
+    """A scored table built from older products, brought up to date by the changed ones alone.
+
+    Of the older products every tenth one was in another category or lacked its reviews.
+    """
+    now = products(spark, sf_dir)
+    old = now.withColumns({
+        "category": F.when(F.col("product_id") % 10 == 3, F.lit("Other")).otherwise(F.col("category")),
+        "reviews": F.when(F.col("product_id") % 10 == 7, F.lit(None)).otherwise(F.col("reviews"))})
+    table = ScoredTable(spark, fresh_path(spark, "scored-old"), _score)
+    table.build(old)
+    table.update(now, now.where(F.col("product_id") % 10 % 4 == 3).select("product_id"))
+    return table.read().select("product_id", "review_pos", "category", "sentiment", "compound", "star_rating")
+
+
 def q_clean_products(spark, sf_dir):
     return products(spark, sf_dir).select(
         "product_id", "title", "manufacturer", "form_factor", "price", "rating",
@@ -393,3 +423,4 @@ QUERIES.update({
 from .training import QUERIES as TRAINING_QUERIES  # noqa: E402
 
 QUERIES.update(TRAINING_QUERIES)
+QUERIES["scored_update"] = q_scored_update

@@ -699,3 +699,5 @@ SELECT * EXCLUDE (seen), CAST(row_number() OVER (ORDER BY seen, model) AS INTEGE
 from .training_oracle import ORACLE as TRAINING_ORACLE  # noqa: E402
 
 ORACLE.update(TRAINING_ORACLE)
+ORACLE["scored_update"] = with_scored(
+    "SELECT product_id, CAST(review_pos AS INTEGER) AS review_pos, category, sentiment, compound, star_rating FROM scored")
