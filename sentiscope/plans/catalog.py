@@ -251,7 +251,7 @@ from ..operators import features as FE  # noqa: E402
 from ..operators import neighbors as NB  # noqa: E402
 from ..operators import scoreboard as SB  # noqa: E402
 from ..operators.evaluate import classification_metrics, regression_metrics  # noqa: E402
-from ..streaming.events import daily_event_windows  # noqa: E402
+from ..streaming.events import daily_event_windows, sentiment_windows  # noqa: E402
 
 NUMERIC_COLS = ["_price", "_rating", "_revn", "_weight", "_batt", "_ravg", "_rcnt"]
 
@@ -424,3 +424,13 @@ from .training import QUERIES as TRAINING_QUERIES  # noqa: E402
 
 QUERIES.update(TRAINING_QUERIES)
 QUERIES["scored_update"] = q_scored_update
+
+
+def q_sentiment_windows(spark, sf_dir):
+    """E2 in batch form over the scored reviews, with an event time made from product and place."""
+    hours = (F.col("product_id") % 40) * 24 + F.col("review_pos") * 7
+    ts = F.timestamp_add("HOUR", hours.cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    return sentiment_windows(scored(spark, sf_dir).withColumn("ts", ts))
+
+
+QUERIES["sentiment_windows"] = q_sentiment_windows

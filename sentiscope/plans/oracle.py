@@ -701,3 +701,8 @@ from .training_oracle import ORACLE as TRAINING_ORACLE  # noqa: E402
 ORACLE.update(TRAINING_ORACLE)
 ORACLE["scored_update"] = with_scored(
     "SELECT product_id, CAST(review_pos AS INTEGER) AS review_pos, category, sentiment, compound, star_rating FROM scored")
+ORACLE["sentiment_windows"] = with_scored("""
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, sentiment,
+  count(*) AS reviews, round_even(CAST(sum(CAST(round(compound * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 10000, 6) AS mean_compound
+FROM (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST((product_id % 40) * 24 + review_pos * 7 AS INTEGER)) AS ts FROM scored) s
+GROUP BY date_trunc('day', ts), sentiment""")

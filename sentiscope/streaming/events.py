@@ -29,6 +29,29 @@ def windowed_event_stream(spark: SparkSession, path: str, schema: StructType,
     return daily_event_windows(ev, window)
 
 
+def sentiment_windows(scored: DataFrame, window: str = "1 day", time: str = "ts") -> DataFrame:
+    """E2 over scored reviews: tumbling event-time windows, count and mean score per sentiment.
+
+    Scores have four decimals; they are summed as whole ten-thousandths, so that no order changes a mean.
+    """
+    units = F.bround(F.col("compound") * 10000, 0).cast("long")
+    g = scored.groupBy(F.window(time, window).alias("w"), "sentiment").agg(
+        F.count(F.lit(1)).alias("reviews"), F.sum(units).alias("_units"))
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "sentiment", "reviews",
+                    F.bround(F.col("_units") / F.col("reviews") / 10000, 6).alias("mean_compound"))
+
+
+def sentiment_window_stream(spark: SparkSession, path: str, schema: StructType, watermark: str = "1 hour",
+                            window: str = "1 day", time: str = "ts") -> DataFrame:
+    """E2 behind E1: windows over the folder that ``score_review_stream`` fills, late rows dropped.
+
+    Scoring is a stream of its own, so that this one's state is only the open
+    windows' counts; ``schema`` is that of the scored rows.
+    """
+    rows = spark.readStream.schema(schema).parquet(f"{path}/epoch=*").withWatermark(time, watermark)
+    return sentiment_windows(rows, window, time)
+
+
 def score_review_stream(spark: SparkSession, path: str, schema: StructType,
                         res: SentimentResources, out_path: str, checkpoint: str,
                         keys: list[str], text_col: str = "review_text"):
