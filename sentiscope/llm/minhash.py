@@ -11,17 +11,19 @@ work is on classes. Classes that share a band meet in a bucket:
 * a bucket of at most SMALL classes gives all its pairs;
 * a larger bucket first gives a maximum spanning forest of its classes by
   signature agreement, at most one pair per class, in blocks of BLOCK classes;
-* once the components of the verified pairs are known, the classes of a larger
-  bucket that lie outside its main component are compared with all of its
-  classes of other components, in blocks, and every pair whose signatures and
-  longer sketches (1,024 further coordinates, made only for these classes) do
-  not rule out the threshold is verified as well.
+* once the components of the verified pairs are known, larger buckets that share
+  classes form a group, in which a pair of classes meets once however many
+  buckets it shares (or stay apart, where that makes fewer pairs). The
+  classes of a group that lie outside its main component are compared with all
+  of the group's classes of other components, block by block: the sizes of
+  all intersections of two blocks are one product of their 0/1 shingle
+  matrices, so that these comparisons are exact.
 
 So a link between two texts that share a bucket is lost only where it joins
 nothing new. Every link is confirmed on the full shingle sets. With a
 similarity at the threshold of 0.85 a pair misses all 30 bands with
-probability 6e-10 (at 0.8: 1.4e-7), and signature agreement rules it out
-wrongly with about 1e-7.
+probability 6e-10 (at 0.8: 1.4e-7), and signature agreement rules a pair of the
+forest out wrongly with about 1e-7.
 
 Edge cases: null, empty and word-less texts have no shingles and link with
 nothing; a text of one to four words is one shingle. Repeated doc_ids are
@@ -48,10 +50,11 @@ from .components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 30, 4
 COORDS = BANDS * ROWS
-LONG = 1024
 CACHE = 1 << 16
 SMALL = 8
 BLOCK = 2048
+SHINGLES = 1 << 20  # of a block of classes that are compared exactly
+COLUMNS, SPARSE, PAIRS = 2048, 64, 1 << 20  # of its matrix products, and when and how columns are counted by pairs
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                   0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -99,11 +102,6 @@ def signature(ids: np.ndarray) -> bytes:
     return (coordinates(ids, 0, COORDS) & np.uint32(0xFFFF)).astype("<u2").tobytes()
 
 
-def sketch(ids: np.ndarray) -> bytes:
-    """LONG further coordinates, the low 8 bits of each, for a closer estimate."""
-    return (coordinates(ids, COORDS, LONG) & np.uint32(0xFF)).astype(np.uint8).tobytes()
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Cache(xxhash.xxh3_64_intdigest, CACHE)
     for b in batches:
@@ -139,16 +137,10 @@ def signatures(docs: DataFrame, keyed: bool = False) -> DataFrame:
         _sign, f"doc_id {kind}, {'_key binary, ' if keyed else ''}n_shingles long, digest binary, sig binary")
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [sketch(np.asarray(x.as_py(), np.int64).view(np.uint64)) for x in b.column("ids")]
-        yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(out, pa.binary())], ["digest", "sketch"])
-
-
-def least_agreement(num: int, den: int, coords: int = COORDS) -> int:
+def least_agreement(num: int, den: int) -> int:
     """Coordinates that a pair at the threshold shares but for a chance of about 1e-7."""
     t = num / den
-    return int(coords * max(0.0, t - 5.2 * (t * (1 - t) / coords) ** 0.5))
+    return int(COORDS * max(0.0, t - 5.2 * (t * (1 - t) / COORDS) ** 0.5))
 
 
 def _matrix(p: pd.DataFrame) -> np.ndarray:
@@ -176,28 +168,69 @@ def _forest(least: int, num: int, den: int):
     return pairs
 
 
-def _across(num: int, den: int):
-    """Pairs of one block of outside classes with one block of all classes, of other components."""
-    least, least_long = least_agreement(num, den), least_agreement(num, den, LONG)
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b`` (sorted distinct ids).
 
-    def pairs(p: pd.DataFrame) -> pd.DataFrame:
-        sig, size, comp = _matrix(p), p["n_shingles"].to_numpy(), p["comp"].to_numpy()
-        close = np.frombuffer(b"".join(p["sketch"]), np.uint8).reshape(-1, LONG)
-        ids, band = p["digest"].to_list(), int(p["band"].iloc[0])
-        outside, out = p["outside"].to_numpy(), []
-        rest = np.flatnonzero(~outside)
-        for i in np.flatnonzero(outside):
-            agree = sig[rest] == sig[i]
-            s = size[rest]
-            ok = (agree.sum(axis=1) >= least) & (den * np.minimum(s, size[i]) >= num * np.maximum(s, size[i]))
-            if band:  # a pair is taken up in the first band that it shares
-                ok &= ~agree[:, :band * ROWS].reshape(len(rest), band, ROWS).all(axis=2).any(axis=1)
-            js = rest[ok]
-            js = js[comp[js] != comp[i]]
-            js = js[(close[js] == close[i]).sum(axis=1) >= least_long]
-            out += [(ids[i], ids[j]) for j in js]
-        return pd.DataFrame(out, columns=["x", "y"])
-    return pairs
+    Ids that both sides hold are columns of two 0/1 matrices. Columns that few
+    pairs share are counted pair by pair, the others by matrix products of COLUMNS
+    columns at a time.
+    """
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(flat_a, flat_b)
+    if not len(shared):
+        return out
+
+    def cells(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by column: the row of each id that is shared, sorted by column, and where each column starts."""
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        held = shared[at] == flat
+        order = np.argsort(at[held], kind="stable")
+        column = at[held][order]
+        return row[held][order], column, np.searchsorted(column, np.arange(len(shared) + 1))
+
+    row_a, col_a, start_a = cells(flat_a, a)
+    row_b, col_b, start_b = cells(flat_b, b)
+    n_a, n_b = np.diff(start_a), np.diff(start_b)
+    few = n_a * n_b * SPARSE < len(a) * len(b)
+    some = np.flatnonzero(few)
+    while len(some):  # about PAIRS pairs at a time
+        upto = max(1, int(np.searchsorted(np.cumsum((n_a * n_b)[some]), PAIRS)))
+        c, some = some[:upto], some[upto:]
+        n = n_a[c] * n_b[c]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        width = np.repeat(n_b[c], n)
+        i = row_a[np.repeat(start_a[c], n) + k // width]
+        j = row_b[np.repeat(start_b[c], n) + k % width]
+        np.add.at(out, (i, j), 1)
+    many = np.flatnonzero(~few)
+    for at in range(0, len(many), COLUMNS):
+        c = many[at:at + COLUMNS]
+        place = np.full(len(shared), -1)
+        place[c] = np.arange(len(c))
+        x, y = np.zeros((len(a), len(c)), np.float32), np.zeros((len(b), len(c)), np.float32)
+        for m, row, column in ((x, row_a, col_a), (y, row_b, col_b)):
+            inside = place[column] >= 0
+            m[row[inside], place[column[inside]]] = 1
+        out += x @ y.T
+    return out
+
+
+def _crossing(num: int, den: int):
+    """Links between components, one for each two, among the classes of one block of outside classes and one of all."""
+    def links(p: pd.DataFrame) -> pd.DataFrame:
+        outside, comp = p["outside"].to_numpy(), p["comp"].to_numpy()
+        a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
+        sets = [np.asarray(x) for x in p["ids"]]
+        found: set[tuple[bytes, bytes]] = set()
+        if len(a) and len(b):
+            size = np.array([len(x) for x in sets], np.float32)
+            both = intersections([sets[i] for i in a], [sets[j] for j in b])
+            linked = den * both >= num * (size[a][:, None] + size[b][None, :] - both)
+            found = {(min(x, y), max(x, y)) for x, y in zip(comp[a[np.nonzero(linked)[0]]], comp[b[np.nonzero(linked)[1]]]) if x != y}
+        return pd.DataFrame(sorted(found), columns=["u", "v"])
+    return links
 
 
 PAIR = "x binary, y binary"
@@ -255,33 +288,61 @@ def _spanning_pairs(buckets: DataFrame, classes: DataFrame, num: int, den: int)
     return _ordered(small.union(large))
 
 
-def _crossing_pairs(buckets: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame,
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(unit, digest, comp, outside, i, j): the classes of each unit in blocks, each pair of blocks once.
+
+    Rows are (unit, digest, comp, size). A block has at most about BLOCK classes and
+    SHINGLES shingles; units without classes outside their main component are left out.
+    """
+    count = rows.groupBy("unit", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s"))
+    main = count.groupBy("unit").agg(F.max(F.struct("k", "comp", "s")).alias("m"), F.sum("k").alias("n"), F.sum("s").alias("t"))
+
+    def blocks(n, t):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(t / SHINGLES), F.lit(1)).cast("int")
+
+    main = main.select("unit", F.col("m.comp").alias("main"), blocks(F.col("n"), F.col("t")).alias("all_blocks"),
+                       (F.col("n") - F.col("m.k")).alias("n_out"),
+                       blocks(F.col("n") - F.col("m.k"), F.col("t") - F.col("m.s")).alias("out_blocks")).where("n_out > 0")
+    d = rows.join(main, "unit").withColumn("h", F.xxhash64("digest"))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    whole = d.select("unit", "digest", "comp", F.lit(False).alias("outside"),
+                     F.pmod("h", F.col("all_blocks")).cast("int").alias("i"), every("out_blocks").alias("j"))
+    return whole.unionByName(d.where("comp <> main").select(
+        "unit", "digest", "comp", F.lit(True).alias("outside"), every("all_blocks").alias("i"),
+        F.pmod("h", F.col("out_blocks")).cast("int").alias("j")))
+
+
+def _crossing_links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame,
                     num: int, den: int) -> DataFrame | None:
-    """Pairs across components within the larger buckets, or None where there are none."""
-    rows = (buckets.where(F.col("n") > SMALL)
+    """(u, v): components that a verified link within the larger buckets joins, or None where no such bucket is open."""
+    rows = (buckets.where(F.col("n") > SMALL).join(classes.select("digest", F.col("n_shingles").alias("size")), "digest")
             .join(comps, F.col("digest") == F.col("node"), "left")
-            .select("bucket", "band", "digest", "n", F.coalesce("root", "digest").alias("comp")))
-    count = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = count.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("n_all"))
-    main = main.select("bucket", F.col("m.comp").alias("main"), (F.col("n_all") - F.col("m.k")).alias("n_out")).where("n_out > 0")
-    d = materialize(rows.join(main, "bucket").withColumn("outside", F.col("comp") != F.col("main")), "dedup-open")
+            .select("bucket", "digest", "size", F.coalesce("root", "digest").alias("comp")))
+    spread = rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("digest").alias("first")).where("a <> b")
+    d = materialize(rows.join(spread.select("bucket", "first"), "bucket"), "dedup-open")
     if d.isEmpty():
         return None
-    def block(n: str):
-        return F.pmod(F.xxhash64("digest"), F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)))
-
-    def every(n: str):
-        return F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)) - 1))
-
-    everyone = d.select("bucket", "band", "digest", "comp", F.lit(False).alias("outside"),
-                        block("n").alias("i"), every("n_out").alias("j"))
-    outside = d.where("outside").select("bucket", "band", "digest", "comp", "outside",
-                                        block("n_out").alias("j"), every("n").alias("i"))
-    close = sets.join(d.select("digest").distinct(), "digest", "left_semi").mapInArrow(
-        _sketches, "digest binary, sketch binary")
-    marks = materialize(classes.select("digest", "n_shingles", "sig").join(close, "digest"), "dedup-sketches")
-    t = everyone.unionByName(outside).join(marks, "digest")
-    return _ordered(t.groupBy("bucket", "i", "j").applyInPandas(_across(num, den), PAIR))
+    groups = connected_components(d.select(F.col("digest").alias("u"), F.col("first").alias("v")))
+    d = materialize(d.join(groups.select("node", F.col("root").alias("group")), F.col("digest") == F.col("node")).drop("node"), "dedup-grouped")
+
+    def cost(key: str, rows: DataFrame) -> DataFrame:
+        """Pairs to compare in each unit: classes outside the main component times all."""
+        k = rows.groupBy(key, "group", "comp").agg(F.count(F.lit(1)).alias("k"))
+        return k.groupBy(key, "group").agg((F.sum("k") * (F.sum("k") - F.max("k"))).alias("pairs"))
+
+    members = d.select(F.col("group").alias("unit"), "group", "digest", "comp", "size").distinct()
+    apart = cost("bucket", d).groupBy("group").agg(F.sum("pairs").alias("apart"))
+    joined = cost("unit", members).groupBy("group").agg(F.sum("pairs").alias("joined"))
+    better = apart.join(joined, "group").select("group", (F.col("joined") <= F.col("apart")).alias("whole"))
+    units = members.join(better.where("whole"), "group").select("unit", "digest", "comp", "size").unionByName(
+        d.join(better.where("not whole"), "group").select(F.col("bucket").cast("string").cast("binary").alias("unit"), "digest", "comp", "size"))
+    t = _blocks(units).join(sets, "digest")
+    links = t.select("unit", "i", "j", "comp", "outside", "ids").groupBy("unit", "i", "j").applyInPandas(
+        _crossing(num, den), "u binary, v binary")
+    return links.distinct()
 
 
 def _linked(docs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame:
@@ -292,13 +353,13 @@ def _linked(docs: DataFrame, signed: DataFrame, num: int, den: int) -> DataFrame
     sets = _sets(docs, classes, buckets)
     links = materialize(verified(_spanning_pairs(buckets, classes, num, den), sets, num, den), "dedup-links")
     comps = connected_components(links)
-    more = _crossing_pairs(buckets, classes, sets, comps, num, den)
-    if more is not None:
-        found = materialize(verified(more, sets, num, den), "dedup-more")
-        if not found.isEmpty():
-            comps = connected_components(links.union(found))
-    return classes.join(comps, F.col("digest") == F.col("node"), "left").select(
+    more = _crossing_links(buckets, classes, sets, comps, num, den)
+    out = classes.join(comps, F.col("digest") == F.col("node"), "left").select(
         "digest", "rep", F.coalesce("root", "digest").alias("root"))
+    if more is not None:  # components that belong together, by the least of their names
+        further = connected_components(materialize(more, "dedup-more")).select(F.col("node").alias("root"), F.col("root").alias("_root"))
+        out = out.join(further, "root", "left").select("digest", "rep", F.coalesce("_root", "root").alias("root"))
+    return out
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

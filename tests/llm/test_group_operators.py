@@ -94,6 +94,32 @@ def test_large_buckets_in_blocks_lose_no_link(spark, monkeypatch):
     check(spark, rows, 80, 100)
 
 
+def test_group_of_copies_on_both_sides_of_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    rnd = random.Random(7)
+    base = [f"t{i}" for i in range(200)]
+
+    def copy(edits):
+        own = list(base)
+        for at in rnd.sample(range(3, 197), edits):
+            own[at] = f"e{rnd.randint(0, 10 ** 6)}"
+        return " ".join(own)
+
+    # two of 3 edits each share about 0.74, two of 1 edit about 0.91; 30 chains of neighbours across the main group
+    rows = [(i, copy(3)) for i in range(500)] + [(1000 + i, copy(1)) for i in range(60)]
+    check(spark, rows, 85, 100)
+
+
+def test_intersections_are_exact(monkeypatch):
+    rng = np.random.default_rng(0)
+    for columns in (2048, 3):
+        monkeypatch.setattr(minhash, "COLUMNS", columns)
+        for _ in range(60):
+            a, b = ([np.unique(rng.integers(0, rng.choice([20, 200, 5000]), rng.integers(1, 60))) for _ in range(rng.integers(1, 30))]
+                    for _ in range(2))
+            assert (minhash.intersections(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 def test_near_duplicates_edge_rows(spark, edge_docs, edge_rows, no_docs):
     got = minhash.near_duplicates(edge_docs, 80, 100).collect()
     want = brute_components([(r[0], r[1]) for r in edge_rows], 80, 100)
