@@ -13,7 +13,7 @@ from ..functions.lookups import (
     RATING_TARGETS,
     REGRESSION_TARGETS,
 )
-from .encoding import label_encode
+from .encoding import label_codes, label_encode  # noqa: F401
 
 # Ranges of one round of exact selection.
 SELECT_BUCKETS = 1024

@@ -74,6 +74,13 @@ def product_by_title(products: DataFrame, title: str) -> DataFrame:
     return products.where(F.col("title") == title).orderBy("product_id").limit(1)
 
 
+def first_by_title(products: DataFrame) -> DataFrame:
+    """F6 for every title: its product with the lowest id, one partial aggregate."""
+    rest = [c for c in products.columns if c != "title"]
+    first = F.min_by(F.struct(*rest), "product_id").alias("_p")
+    return products.where(F.col("title").isNotNull()).groupBy("title").agg(first).select("title", "_p.*")
+
+
 def reviews_of(reviews: DataFrame, product_id: int) -> DataFrame:
     """reviews of one product, from the unfiltered set."""
     return reviews.where(F.col("product_id") == product_id)

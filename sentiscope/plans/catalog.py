@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 from ..functions.lexicons import fixture_resources
 from ..operators import analytics as A
-from ..operators.filters import FilterSpec, apply_filters, price_bounds, title_search
+from ..operators.filters import FilterSpec, apply_filters, first_by_title, price_bounds, title_search
 from ..operators.reviews import clean_products, flatten_reviews
 from ..operators.sentiment import score_basic, score_full, score_reviews
 from ..sources.scored import ScoredTable
@@ -426,6 +426,29 @@ QUERIES.update(TRAINING_QUERIES)
 QUERIES["scored_update"] = q_scored_update
 
 
+def q_product_by_title(spark, sf_dir):
+    """what a lookup of each exact title finds."""
+    return first_by_title(products(spark, sf_dir).select("product_id", "title", "category", "price_clean", "rating_clean"))
+
+
+def q_filter_options(spark, sf_dir):
+    """The values that each filter offers, with their places in order."""
+    p = products(spark, sf_dir)
+    cols = ["category", "manufacturer", "os"]
+    names = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("c") + 1)
+    known = [FE.label_codes(A.distinct_values(p, c), [c]).select(F.lit(i).alias("c"), "label", "code") for i, c in enumerate(cols)]
+    return known[0].unionByName(known[1]).unionByName(known[2]).select(names.alias("filter"), F.col("label").alias("value"), F.col("code").alias("place"))
+
+
+def q_score_bubbles(spark, sf_dir):
+    """Bubble size of every score of the results table."""
+    out = SB.score_features(model_results(spark, sf_dir)).select("target", "model", "bubble")
+    return out.withColumn("bubble", F.bround("bubble", 6))
+
+
+QUERIES.update({"product_by_title": q_product_by_title, "filter_options": q_filter_options, "score_bubbles": q_score_bubbles})
+
+
 def q_sentiment_windows(spark, sf_dir):
     """E2 in batch form over the scored reviews, with an event time made from product and place."""
     hours = (F.col("product_id") % 40) * 24 + F.col("review_pos") * 7

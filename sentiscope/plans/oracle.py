@@ -706,3 +706,12 @@ SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1
   count(*) AS reviews, round_even(CAST(sum(CAST(round(compound * 10000) AS BIGINT)) AS DOUBLE) / count(*) / 10000, 6) AS mean_compound
 FROM (SELECT *, TIMESTAMP '2024-01-01' + to_hours(CAST((product_id % 40) * 24 + review_pos * 7 AS INTEGER)) AS ts FROM scored) s
 GROUP BY date_trunc('day', ts), sentiment""")
+ORACLE["product_by_title"] = with_base("""
+SELECT title, product_id, category, price_clean, rating_clean FROM products
+WHERE title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title ORDER BY product_id) = 1""")
+ORACLE["filter_options"] = with_base(" UNION ALL ".join(f"""
+SELECT '{c}' AS filter, {c} AS value, CAST(row_number() OVER (ORDER BY {c}) - 1 AS INTEGER) AS place
+FROM (SELECT DISTINCT {c} FROM products WHERE {c} IS NOT NULL) {c}_values""" for c in ("category", "manufacturer", "os")))
+ORACLE["score_bubbles"] = f"""
+WITH {RESULTS}
+SELECT target, model, round_even(greatest(400.0, pow(score * 100, 1.85)), 6) AS bubble FROM r WHERE score IS NOT NULL"""
