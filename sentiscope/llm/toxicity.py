@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import materialize, small_enough, text_key
 
 # ASCII characters but letters and digits, and the marks and blanks of Latin-1, general and CJK punctuation.
 MARKS_TO_BLANKS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -315,19 +315,32 @@ def _examples(terms: Terms) -> Callable:
     return run
 
 
+def _labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(id, toxic, text), written once: one document for each labelled text and label.
+
+    Labels and copies are settled on ids and digests alone; texts are then
+    fetched by a broadcast of the chosen ids where their number allows it.
+    """
+    texts = docs.select("doc_id", "text", text_key().alias("key"))
+    known = texts.select("doc_id", "key").join(marks, F.col("doc_id") == F.col("_id"))
+    rows = known.groupBy("key", "toxic", F.col("doc_id").cast("string").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("key", "toxic").agg(F.min(F.struct("id", "n")).alias("f"))
+    chosen = materialize(first.select(F.col("key").alias("_key"), "toxic", "f.id", "f.n"), "toxic-labels")
+    side = F.broadcast(chosen) if small_enough(chosen.count(), 96) else chosen
+    found = texts.join(side, (F.col("key") == F.col("_key")) & (F.col("doc_id").cast("string") == F.col("id")))
+    found = materialize(found.select("key", "id", "toxic", "n", "text"), "toxic-texts")
+    once = found.where("n = 1")
+    if not chosen.where("n > 1").isEmpty():  # a repeated row: one of them
+        once = once.unionByName(found.where("n > 1").dropDuplicates(["key", "toxic"]))
+    return once.select("id", "toxic", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, terms: int = TERMS) -> Model:
     """Terms from all labels that aren't held out, idf from all documents, about ``per_label`` examples of each label."""
     marks = labels.where("toxic in (0, 1)").where(~held_out()).select(
         F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
-    texts = docs.select("doc_id", "text", text_key().alias("key"))
-    known = texts.join(marks, F.col("doc_id") == F.col("_id"))
-    once = known.groupBy("key", "toxic").agg(F.min(F.col("doc_id").cast("string")).alias("id"))
-    once = materialize(once, "toxic-labels")  # one document for each labelled text
-    size = _by_label(once)
-    chosen = once.select(F.col("key").alias("_key"), "toxic", "id")
-    labelled = texts.join(chosen, (F.col("key") == F.col("_key")) & (F.col("doc_id").cast("string") == F.col("id")))
-    labelled = labelled.dropDuplicates(["key", "toxic"]).select("id", "toxic", "text")
-    labelled = materialize(labelled, "toxic-texts")
+    labelled = _labelled(docs, marks)
+    size = _by_label(labelled)
     names = label_terms(labelled, terms)
     if not names:
         return Model([], np.empty(0), [], size, (0, 0))
