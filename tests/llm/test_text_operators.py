@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -372,3 +373,30 @@ def test_quality_scores_held_out(spark, edge_docs, edge_rows, no_docs):
     none = quality_model.score_documents(edge_docs, labels.limit(0)).toPandas()
     assert np.allclose(none.score, 0.3)
     assert quality_model.score_documents(no_docs, labels).count() == 0
+
+
+# --- personal data in very long texts ---------------------------------------------
+
+def test_mixed_runs_and_merged_spans_match_their_definitions():
+    rng = random.Random(1)
+    mixed = re.compile(r"(?=[0-9A-Za-z]*[0-9])(?=[0-9A-Za-z]*[A-Za-z])[0-9A-Za-z]{16,}")  # what a mixed run is
+    parts = ["a", "B", "1", "9", "é", "-", "_", "٣", "a" * 16, "1" * 16, "@", "."]
+    for _ in range(3000):
+        word = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert ("mixed" in pii.features(word)) == bool(mixed.search(word.strip(pii._EDGE)))
+        base = [(pii.KINDS[0], a, a + rng.randint(1, 9)) for a in rng.sample(range(40), rng.randint(0, 6))]
+        more = [("secret", a, a + rng.randint(1, 9)) for a in rng.sample(range(40), 4)]
+        kept = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        assert pii.merged_spans(base, more) == sorted(base) + sorted(kept)
+
+
+def test_very_long_texts_take_time_in_proportion():
+    crf = pii.train()
+    rng = random.Random(2)
+    words = ["call +1 212 555 0147 now ", "a@b.org ", "10.0.0.1 ", "word ", "k3yABCDEF0123456789x ", "4111 1111 1111 1111 "]
+    for text in ("1" * 3_000_000, "a1" * 1_500_000, "x" * 3_000_000, "a@" * 500_000, "+1(" * 500_000,
+                 "".join(rng.choice(words) for _ in range(100_000))):
+        began = time.process_time()
+        (base, spans), = pii.find_spans([text], pii.Tagger(crf))
+        assert time.process_time() - began < 60
+        assert base == pii.base_spans(text) and set(base) <= set(spans)
