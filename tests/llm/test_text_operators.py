@@ -400,3 +400,40 @@ def test_very_long_texts_take_time_in_proportion():
         (base, spans), = pii.find_spans([text], pii.Tagger(crf))
         assert time.process_time() - began < 60
         assert base == pii.base_spans(text) and set(base) <= set(spans)
+
+
+# --- quality scores by brute force --------------------------------------------------
+
+def plain_features(text):
+    """The features as they are named, counted byte by byte."""
+    b = (text or "").encode()
+    words = b.split()
+    if not words:
+        return [0.0] * len(quality_model.FEATURES)
+    n, size = len(words), sum(len(w) for w in words)
+    lines = [x for x in b.split(b"\n") if x.split()]
+    stops = {w for s in quality_rules.STOP_WORDS for w in (s.encode(), s.capitalize().encode())}
+
+    def count(test):
+        return sum(1 for c in b if test(c))
+
+    return [np.log(n + 1), size / n, count(lambda c: chr(c) in "#*$%&<>") / n, count(lambda c: c == 33) / n,
+            count(lambda c: c == 124) / n, count(lambda c: 65 <= c <= 90) / size, count(lambda c: 48 <= c <= 57) / size,
+            count(lambda c: 33 <= c < 127 and not chr(c).isalnum()) / size, len(set(words)) / n,
+            sum(1 for i in range(1, n) if words[i] == words[i - 1]) / n, 1 - len(set(lines)) / len(lines),
+            np.log(n / len(lines) + 1), sum(1 for w in words if w in stops) / n]
+
+
+def test_quality_scores_match_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_model.train(docs, labels)
+    got = {r["doc_id"]: r for r in quality_model.score_documents(docs, labels).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        z = sum(w * min(max((x - m) / s, -8), 8) for x, m, s, w in
+                zip(plain_features(r["text"]), model.mean, model.scale, model.weights)) - model.cut
+        score = 1 / (1 + np.exp(-(z + np.log(0.3 / 0.7))))
+        own = got[r["doc_id"]]
+        assert abs(own["score"] - score) < 1e-9 and own["predicted"] == (own["score"] >= 0.3)
+        assert own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
