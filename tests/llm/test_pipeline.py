@@ -76,7 +76,7 @@ def test_stages_keep_the_columns(spark, edge_docs, no_docs):
 
 def test_names():
     assert [n for n in QUERIES if n.startswith("op")] and len(corpus_pipeline.STAGES) == 5
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
