@@ -3,11 +3,12 @@
 Plan shape (per call):
 
 * one projection per text builds the token array and, per token, a struct with
-  its 3 preceding and 2 following lower-cased tokens (``transform`` with index),
-  so ``explode`` never copies the whole array into each output row;
+  its 3 preceding and 2 following tokens, so ``explode`` never copies the whole
+  array into each output row;
 * one inner join against the vocabulary keeps lexicon hits only; four left joins
-  add context flags to the hits. The planner broadcasts the vocabulary by its own
-  byte threshold;
+  add context flags to the hits. Vocabulary and phrase tables are measured (they
+  come without statistics) and broadcast up to BROADCAST_BYTES;
+* cases of the neighbours are looked at on hits only;
 * rule arithmetic is plain column expressions (whole-stage codegen);
 * ``groupBy(review key)`` sums per review: tokens of a review sit in one input
   partition, so the partial aggregate collapses them before the shuffle;
@@ -33,14 +34,22 @@ from ..functions.lexicons import (
     SentimentResources,
 )
 
-# Python's string.punctuation as ASCII ranges: ! to /, : to @, [ to `, { to ~.
-PUNCT = r"[!-/:-@\[-`{-~]"
-STRIP_PUNCT = rf"^{PUNCT}+|{PUNCT}+$"
+PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # Python's string.punctuation
 WS_SPLIT = r"(?U)\s+"
 
+# Largest resource table that is broadcast, by the length of its terms and ROW_BYTES a row.
+BROADCAST_BYTES, ROW_BYTES = 32 * 1024 * 1024, 64
+
 SCORE_COLUMNS = ["compound", "pos_score", "neg_score", "neu_score", "sentiment"]
 
 
+def _broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
+    """``df`` hinted for broadcast if it is small. Tables made of local rows count as endless for the
+    planner, which then shuffles every token to meet them."""
+    size = df.agg(F.sum(F.octet_length(key) + ROW_BYTES).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def vocabulary(res: SentimentResources) -> DataFrame:
     """term -> (valence, booster, is_neg); one row per lower-cased term."""
     lex = res.lexicon.select(F.lower("term").alias("term"), F.col("valence").cast("double"))
@@ -58,15 +67,17 @@ def _is_upper(t: Column) -> Column:
     return (t == F.upper(t)) & (t != F.lower(t))
 
 
+def _raw_tokens(text: Column) -> Column:
+    return F.filter(F.split(text, WS_SPLIT), lambda t: t != "")
+
+
 def _tokens(text: Column) -> Column:
     """V1: whitespace split; edge punctuation stripped unless <= 2 characters would remain."""
-    raw = F.filter(F.split(text, WS_SPLIT), lambda t: t != "")
-
     def strip(t):
-        s = F.regexp_replace(t, STRIP_PUNCT, "")
+        s = F.btrim(t, F.lit(PUNCT))
         return F.when(F.length(s) <= 2, t).otherwise(s)
 
-    return F.transform(raw, strip)
+    return F.transform(_raw_tokens(text), strip)
 
 
 def _count_char(text: Column, ch: str) -> Column:
@@ -97,7 +108,8 @@ def _phrases(df: DataFrame, key: str, value: str) -> DataFrame | None:
     """(_phrase, _value) of a phrase table, one row a lower-cased phrase; None where it is empty."""
     if df.isEmpty():
         return None
-    return df.groupBy(F.lower(key).alias("_phrase")).agg(F.max(F.col(value).cast("double")).alias("_value"))
+    return _broadcast_if_small(
+        df.groupBy(F.lower(key).alias("_phrase")).agg(F.max(F.col(value).cast("double")).alias("_value")), "_phrase")
 
 
 def _look_up(hits: DataFrame, phrases: DataFrame, parts: tuple[str, ...], out: str) -> DataFrame:
@@ -110,33 +122,31 @@ def _full_hits(texts: DataFrame, keys: list[str], text_col: str,
                res: SentimentResources) -> DataFrame:
     """Per-hit final valence (V2-V6) for every lexicon hit of every text."""
     staged = texts.select(*keys, _tokens(F.col(text_col)).alias("toks"))
-    staged = staged.select(*keys, "toks", F.transform("toks", F.lower).alias("lows"),
-                           F.transform("toks", _is_upper).alias("ups"))
     # Context arrays are the token arrays shifted by k, built once per text.
     # No lambda refers to an outer array: an inlined outer array inside a
     # per-element lambda would be recomputed per element (quadratic per text).
     n = F.size("toks")
     staged = staged.select(
-        *keys, "lows", "ups",
-        _shift("lows", 1, n, "string").alias("p1"), _shift("lows", 2, n, "string").alias("p2"),
-        _shift("lows", 3, n, "string").alias("p3"), _shift("lows", -1, n, "string").alias("n1"),
-        _shift("lows", -2, n, "string").alias("n2"), _shift("ups", 1, n, "boolean").alias("up1"),
-        _shift("ups", 2, n, "boolean").alias("up2"), _shift("ups", 3, n, "boolean").alias("up3"),
+        *keys, "toks", *[_shift("toks", k, n, "string").alias(f"t{i}") for i, k in enumerate((1, 2, 3, -1, -2))],
         # Per-text scalars are computed before the explode, so the Generate
         # carries only scalars, never the arrays, into each output row.
-        (F.size(F.filter("ups", lambda u: u)).between(1, n - 1)).alias("cap_diff"),
-        (F.array_position("lows", res.contrast) - 1).alias("but_pos"))
-    zipped = F.arrays_zip(F.col("lows").alias("lw"), F.col("ups").alias("up"), "p1", "p2", "p3",
-                          "n1", "n2", "up1", "up2", "up3")
+        (F.size(F.filter("toks", _is_upper)).between(1, n - 1)).alias("cap_diff"),
+        (F.array_position(F.transform("toks", F.lower), res.contrast) - 1).alias("but_pos"))
+    zipped = F.arrays_zip(F.col("toks").alias("t"), *[f"t{i}" for i in range(5)])
     exploded = (staged.select(*keys, "cap_diff", "but_pos", F.posexplode(zipped).alias("pos", "c"))
-                .select(*keys, "cap_diff", "but_pos", "pos", "c.*"))
+                .select(*keys, "cap_diff", "but_pos", "pos", F.lower("c.t").alias("lw"), "c.*"))
 
-    vocab = vocabulary(res)
+    vocab = _broadcast_if_small(vocabulary(res), "term")
     scoring = (
         vocab.where(F.col("valence").isNotNull() & F.col("booster").isNull())
         .select(F.col("term").alias("lw"), F.col("valence").alias("v0")))
-    hits = (exploded.join(scoring, "lw")
-            .where(~((F.col("lw") == "kind") & F.coalesce(F.col("n1") == "of", F.lit(False)))))
+    context = {"up": _is_upper(F.col("t"))}
+    for i, k in enumerate(("p1", "p2", "p3", "n1", "n2")):
+        context[k] = F.lower(f"t{i}")
+        if k[0] == "p":
+            context[f"u{k}"] = _is_upper(F.col(f"t{i}"))
+    hits = exploded.join(scoring, "lw").withColumns(context)
+    hits = hits.where(~((F.col("lw") == "kind") & F.coalesce(F.col("n1") == "of", F.lit(False))))
     for k in ("p1", "p2", "p3", "n1"):
         side = (vocab.select(
             F.col("term").alias(k), F.col("valence").isNotNull().alias(f"{k}_lex"),
@@ -263,7 +273,7 @@ def score_full(df: DataFrame, keys: list[str], text_col: str,
         F.sum(F.when(F.col("s") < 0, F.col("s") - 1.0)).alias("_neg_sum"),
         F.count(F.when(F.col("s") != 0, 1)).alias("_nz"))
     text = F.col(text_col)
-    base = df.select("*", F.size(_tokens(text)).alias("_ntok"),
+    base = df.select("*", F.size(_raw_tokens(text)).alias("_ntok"),
                      _punct_amplifier(text).alias("_punct"))
     return _finish_full(base, agg, keys)
 

@@ -69,3 +69,18 @@ def test_idioms_and_phrase_boosters(spark):
     got = [x["compound"] for x in score_full(df, ["id"], "text", r).orderBy("id").collect()]
     want = [v / math.sqrt(v * v + 15) for v in (-1.5, -2.9, 1.9 - 0.293, 2.0)]
     assert got == [pytest.approx(w, abs=6e-5) for w in want]
+
+
+def test_tokens_meet_small_resource_tables_by_broadcast(spark):
+    texts = spark.createDataFrame([(1, "not good")], "id long, text string")
+    phrases = _tables(spark, LEX, BOOST | {"kind of": -0.293}, NEG, {"the bomb": 3.0}, "but")
+    for r, joins in ((res(spark), 5), (phrases, 15)):
+        plan = score_full(texts, ["id"], "text", r)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= joins
+        assert plan.count("SortMergeJoin") <= 1  # the sums' join with the reviews
+
+
+def test_punctuation_inside_words_and_short_rests_stay(spark):
+    texts = ["!!good??", "(good)", "a!", "go-od", "[\\good^]`{|}~", " good bad"]
+    assert scores(spark, texts)[1:5] == [norm(2.0), 0.0, 0.0, norm(2.0)]
+    assert scores(spark, texts)[5] == 0.0
