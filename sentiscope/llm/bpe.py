@@ -32,12 +32,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Cache, no_cycle_search
 
-CACHE = 1 << 18  # entries of each of the two caches, about 150 bytes each
+CACHE = 1 << 16  # entries of each of the two caches, about 250 bytes each
+PART_BYTES = 1 << 20  # text that is encoded before its ids are handed on
 FRAGMENT = re.compile("[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -132,6 +134,7 @@ class ForcedBoundaryBPE:
         """Give the caches' memory back; a worker that waits for other work holds none."""
         self._fragments.clear()
         self._merged.clear()
+        pa.default_memory_pool().release_unused()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -143,10 +146,20 @@ def tokenizer_of(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about PART_BYTES of text, a row at least."""
+    size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(size) // PART_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield b.slice(lo, hi - lo)
+
+
 def _encoded(path: str, with_ids: bool):
     def rows(batches: Iterator[pa.RecordBatch], bpe: ForcedBoundaryBPE) -> Iterator[pa.RecordBatch]:
         decimal: dict[int, str] = {i: str(i) for i in bpe._bytes}
-        for b in batches:
+        for b in (part for whole in batches for part in _parts(whole)):
             n, ids_sha, text_sha, all_ids = [], [], [], []
             with no_cycle_search():
                 for text in b.column("text"):

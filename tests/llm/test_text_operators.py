@@ -437,3 +437,20 @@ def test_quality_scores_match_brute_force(spark):
         own = got[r["doc_id"]]
         assert abs(own["score"] - score) < 1e-9 and own["predicted"] == (own["score"] >= 0.3)
         assert own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_bpe_hands_on_a_batch_in_parts():
+    import pyarrow as pa
+
+    from sentiscope.llm import bpe
+    from sentiscope.llm.catalog import tokenizer
+
+    texts = ["some words here " * 20_000, None, "", "short", *["other words " * 30_000] * 4, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["_row", "text"])
+    path = tokenizer("byte_bpe_50k.json")
+    out = list(bpe._encoded(path, True)(iter([batch, batch.slice(0, 0)])))
+    assert len(out) >= 2 and max(b.num_rows for b in out) < len(texts)
+    rows = pa.Table.from_batches(out)
+    assert rows.column("_row").to_pylist() == list(range(len(texts)))
+    own = bpe.tokenizer_of(path)
+    assert rows.column("token_ids").to_pylist() == [own.encode(t).tolist() for t in texts]
