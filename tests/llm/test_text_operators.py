@@ -454,3 +454,31 @@ def test_bpe_hands_on_a_batch_in_parts():
     assert rows.column("_row").to_pylist() == list(range(len(texts)))
     own = bpe.tokenizer_of(path)
     assert rows.column("token_ids").to_pylist() == [own.encode(t).tolist() for t in texts]
+
+
+def test_quality_model_learns_from_every_label(spark):
+    # labels beyond any fixed number of rows: the last few decide the means, the blocks and the cut
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice(["Alpha", "beta", "##", "the", "10"]) for _ in range(rng.randint(1, 12)))) for i in range(9000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("##" not in t and i % 10 > 0)) for i, t in texts], "doc_id long, quality int")
+    model = quality_model.train(docs, labels)
+    used = [(quality_model.features(t.encode()), int("##" not in t and i % 10 > 0)) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([u[0] for u in used]), np.array([u[1] for u in used])
+    assert len(x) > 6500 and np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) < 1e-9, 1, x.std(axis=0)))
+    s = np.sort(model.strength(x))
+    n0 = int((y == 0).sum())
+    assert abs(model.cut - (s[n0 - 1] + s[n0]) / 2) < 1e-9
+    learnt = quality_model.feature_rows(docs).join(labels, "doc_id")
+    one = np.zeros(len(quality_model.FEATURES)), np.ones(len(quality_model.FEATURES))
+    packed = quality_model.blocks(learnt, {0: 4500, 1: 4500}, *one).selectExpr("sum(size(good) + size(bad)) as n").first()["n"]
+    assert packed == 9000 * len(quality_model.FEATURES)
+
+
+def test_quality_blocks_hold_both_labels_where_one_is_rare(spark):
+    d = len(quality_model.FEATURES)
+    rows = spark.createDataFrame([(i, int(i < 3), [float(i % 7)] * d) for i in range(3000)], "doc_id long, quality int, x array<double>")
+    packed = quality_model.blocks(rows, {0: 2997, 1: 3}, np.zeros(d), np.ones(d))
+    assert packed.where("size(good) = 0 and size(bad) > 0").count() == 0
+    w = quality_model.fit_blocks(packed)
+    assert np.isfinite(w).all()
