@@ -122,3 +122,36 @@ def test_singular_vectors_match_numpy(spark):
     assert np.allclose(np.abs((got * want).sum(axis=0)), 1)
     low = {r["id"]: r["v"] for r in NB.truncated_svd(df, "id", "v", 3).collect()}
     assert np.allclose([low[i] for i in range(60)], m @ got)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_top_terms_of_words_and_pairs_match_plain_counts(spark, seed):
+    import random
+    from collections import Counter
+
+    from sentiscope.operators.features import term_lists, top_terms
+
+    rnd = random.Random(seed)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    texts = [" ".join(rnd.choices(words, weights=range(1, 13), k=rnd.randint(0, 30))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lists = term_lists(df, "id", "text", [], 2)
+    count = Counter()
+    for t in texts:
+        w = t.split()
+        count.update(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    for most in (3, 9, 12, 40, 500):
+        want = sorted(count, key=lambda t: (-count[t], t))[:most]
+        assert sorted(r["term"] for r in top_terms(lists, "_t", most, True).collect()) == sorted(want)
+
+
+def test_only_pairs_of_frequent_words_are_grouped(spark, monkeypatch):
+    from sentiscope.operators import features as fe
+
+    seen = {}
+    whole = fe.materialize
+    monkeypatch.setattr(fe, "materialize", lambda df, name: seen.setdefault(name, whole(df, name)))
+    df = spark.createDataFrame([(i, f"common often rare{i}x seldom{i}y") for i in range(50)], "id long, text string")
+    top = fe.top_terms(fe.term_lists(df, "id", "text", [], 2), "_t", 2, True).collect()
+    assert sorted(r["term"] for r in top) == ["common", "common often"]
+    assert sorted(r["term"] for r in seen["terms-frequent"].collect()) == ["common", "often"]
