@@ -172,6 +172,32 @@ def test_alignment_of_edge_rows(spark, edge_docs, edge_rows, no_docs, tok):
     assert long["n_a"] > 0 and long["n_links"] == long["n_a"] + long["n_b"] - long["n_groups"]
 
 
+def test_chunk_is_aligned_in_small_parts(tok, monkeypatch):
+    import tracemalloc
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 800))) for _ in range(500)] + [None, "", "▁"]
+    alignment.align_chunk(tok, texts)  # all words are kept now
+    tracemalloc.start()
+    small = alignment.align_chunk(tok, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(t or "") for t in texts) > 4 * alignment.PART_CHARS and peak < 60e6
+    for chars in (1, 10_000, 1 << 40):  # the last one: all texts at once
+        monkeypatch.setattr(alignment, "PART_CHARS", chars)
+        part = alignment.align_chunk(tok, texts)
+        assert all(np.array_equal(small[k], part[k]) for k in small)
+
+
+def test_totals_take_one_chunk_at_a_time(spark, tok, monkeypatch):
+    monkeypatch.setattr(alignment, "CHUNK_DOCS", 3)
+    docs = spark.createDataFrame([(i, f"word{i % 5} and more") for i in range(30)], "doc_id long, text string").coalesce(1)
+    whole = alignment.align(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan and "MapInArrow _totals" not in plan
+    assert whole.count() == 30
+
+
 def test_shared_cuts_of_any_intervals():
     rng = np.random.default_rng(1)
     for reach in (1, 2, 7):
