@@ -61,3 +61,26 @@ def test_flatten_time_grows_with_the_reviews(spark):
     took(1000)
     small, large = min(took(2000) for _ in range(2)), min(took(16_000) for _ in range(2))
     assert large < 16 * small + 1
+
+
+def test_packed_reviews_match_a_plain_join_and_shuffle_texts_once(spark, tmp_path):
+    from sentiscope.sources.testdata import packed_reviews
+
+    docs = [(0, "b"), (1, "a|x"), (1, "a|x"), (1, None), (4, "z"), (6, "q"), (None, "n"), (None, "m"), (14, "")]
+    labels = [(0, 1), (1, 0), (1, 1), (1, None), (6, 0), (6, 0), (None, 1), (99, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    star = {1: "5.0 out of 5 stars", 0: "2.0 out of 5 stars", None: ""}
+    items = {}
+    for d, t in docs:
+        own = [q for e, q in labels if d is not None and e == d] or [None]
+        t = None if t is None else t.replace("|", " ")
+        items.setdefault(None if d is None else d // 5, []).extend((d, t, star[q]) for q in own)
+    want = []
+    for k, v in items.items():
+        v.sort(key=lambda x: (x[0] or 0, x[1] is not None, x[1] or "", x[2]))
+        want.append((k, "||".join(t for _, t, _ in v if t is not None), "||".join(s for _, _, s in v)))
+    packed = packed_reviews(spark, str(tmp_path))
+    assert sorted(map(tuple, packed.collect()), key=str) == sorted(want, key=str)
+    logical = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("Join") == 1 and logical.index("Join") < logical.index("Aggregate")  # texts are dealt out by product alone
